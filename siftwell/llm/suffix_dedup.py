@@ -142,7 +142,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > 1).select("k")
     runs = contexts.join(several, "k", "left_semi").select("one.r1", "one.r2", F.struct("one.lo", "one.hi", "k", (F.col("n") > 1).alias("rep")).alias("run"))
     runs = runs.groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))  # no more than the text has bytes
-    starts = written(start_hashes(rows.join(runs, ["r1", "r2"]).dropDuplicates(["r1", "r2"]), length), "starts")
+    starts = written(start_hashes(rows.join(runs, ["r1", "r2"]), length), "starts")
     equal = starts.groupBy("k", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k", "w")
     single = starts.filter(~F.col("rep")).join(equal, ["k", "w"], "left_semi").select("r1", "r2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
     ranges = whole.unionByName(single).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
