@@ -26,7 +26,9 @@ def _as_before(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_first_clean(docs, into="__quality").filter("__quality.kept")
+    # the row number keeps the filter above the projections: pushed below, every rule would be computed many times over
+    judged = line_first_clean(docs, into="__quality").withColumn("__row", F.monotonically_increasing_id())
+    judged = judged.filter(F.col("__quality.kept") & (F.col("__row") >= 0))
     return _as_before(judged.withColumn("text", F.col("__quality.clean_text")), docs)
 
 

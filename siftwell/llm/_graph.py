@@ -1,28 +1,5 @@
-"""Connected components of links between ids, by alternating large-star and small-star steps."""
+"""Connected components, from the library."""
 
-from __future__ import annotations
+from siftwell.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from siftwell.llm._store import written
-
-
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, comp): the smallest id reachable from each node of the links (a, b)."""
-    edges = written(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        # large star: every larger neighbour is joined with the smallest one of the neighbourhood, itself included
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the smaller neighbours and the node itself are joined with the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = state
-    raise RuntimeError("components did not settle")
+__all__ = ["components"]

@@ -1,64 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the shared folder, from the library."""
 
-from __future__ import annotations
+from siftwell.store import LARGE_ROWS, discard, new_path, scratch_root, written
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (local runs)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="siftwell-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        sc.setCheckpointDir(base)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """df written as Parquet and read again: lineage ends here, and a lost executor costs no recomputation.
-
-    The schema is passed on, so reading needs no job and empty tables keep their columns.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**(options or {})).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._siftwell_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing lazy depends on any more."""
-    path = getattr(df, "_siftwell_path", None)
-    if path:
-        jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-
-
-#: For tables of few, large binary rows: close a row group by bytes, not after a hundred rows.
-LARGE_ROWS = {
-    "parquet.block.size": str(8 << 20),
-    "parquet.block.size.row.check.min": "1",
-    "parquet.block.size.row.check.max": "4",
-    "parquet.page.size.row.check.min": "1",
-    "parquet.enable.dictionary": "false",
-    "compression": "none",
-}
+__all__ = ["LARGE_ROWS", "discard", "new_path", "scratch_root", "written"]
