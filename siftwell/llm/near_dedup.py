@@ -9,7 +9,7 @@ probability 0.18 at a Jaccard similarity of 0.8, all ten of them with less than
 Rows with the same set are first collapsed into a class. Buckets never emit all their pairs: a few hubs for each bucket
 (members with the smallest hash, another for each chunk) are paired with the members; then only members that
 are still in different components are compared, in tiles of bounded size, by signature distance; what passes is
-confirmed on the full texts. So a bucket that holds a third of all rows costs a few pairs for each row, and no
+confirmed on the full texts, in the tile itself where the bucket is large. So a bucket that holds a third of all rows costs a few pairs for each row, and no
 link that joins two components is lost.
 
 Defined cases: without words or text the set is empty and the row is linked with nothing; a row with a null id is
@@ -32,7 +32,9 @@ from siftwell.llm._text import U64, column, mix, shingle_sets
 
 CHUNK = 4
 COMPONENTS = 40
+#: Members of a tile, and the size of a bucket from which its texts travel to the tile instead of its pairs to the texts.
 TILE = 1500
+LARGE = 100
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,27 +108,55 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def close_in_tiles(members: DataFrame, most: int) -> DataFrame:
-    """Pairs of members of a tile in different components whose signatures differ in at most `most` components.
+def first_bucket(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The first bucket that a signature shares with each of the others (which share one)."""
+    equal = (others == sig).reshape(len(others), -1, CHUNK)
+    n = equal.sum(axis=2)
+    chunk = (n >= CHUNK - 1).argmax(axis=1)
+    there = np.arange(len(others)), chunk
+    return chunk * CHUNK + np.where(n[there] == CHUNK, 0, equal[there].argmin(axis=1))
 
-    members: key, t1, t2, node, comp, sig, side (0: both, 1 or 2: only compared with the other side), dealt by tile and
-    sorted by it, so a tile is a run of rows.
+
+def close_in_tiles(members: DataFrame, most: int, k: int, percent: int) -> DataFrame:
+    """(x, y, sure): pairs of members of a tile in different components whose signatures differ in at most `most`
+    components, each in the first bucket that it shares only.
+
+    members: key, t1, t2, node, comp, sig, side (0: both, 1 or 2: only compared with the other side) and text, dealt by
+    tile and sorted by it, so a tile is a run of rows. Where texts are given, pairs are confirmed here and then `sure`,
+    and only links that join two components of the tile are returned: fewer than the tile has members.
     """
     kind = members.schema["node"].dataType.simpleString()
 
     def tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp = t.column("node").combine_chunks(), t.column("comp").combine_chunks()
-        code = comp.dictionary_encode().indices.to_numpy()
-        side = t.column("side").to_numpy()
+        code = comp.dictionary_encode().indices.to_numpy().copy()
+        side, bucket = t.column("side").to_numpy(), t.column("key")[0].as_py() >> 48
         sig = np.stack([np.frombuffer(s, dtype=np.uint16) for s in t.column("sig").to_pylist()])
+        texts = t.column("text").combine_chunks()
+        sets = None if texts.null_count else list(shingle_sets(*column(texts), k))
+        x: list[int] = []
+        y: list[int] = []
         for i in range(len(sig) - 1):
-            rest = slice(i + 1, None)
-            ok = (code[rest] != code[i]) & ((side[rest] != side[i]) | (side[i] == 0))
+            ok = (code[i + 1 :] != code[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))
             j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                j = j[(sig[j] != sig[i]).sum(axis=1) <= most]
-            if len(j):
-                yield pa.RecordBatch.from_pydict({"x": node.take(pa.array(np.full(len(j), i))), "y": node.take(pa.array(j))})
+            distance = (sig[j] != sig[i]).sum(axis=1)
+            near = np.flatnonzero(distance <= most)
+            j = j[near[np.argsort(distance[near], kind="stable")]]
+            j = j[first_bucket(sig[i], sig[j]) == bucket] if len(j) else j
+            if sets is None:
+                x += [i] * len(j)
+                y += j.tolist()
+                continue
+            for o in j.tolist():
+                if code[o] == code[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[o], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[o]) - both):
+                    x.append(i)
+                    y.append(o)
+                    code[code == code[o]] = code[i]
+        if x:
+            yield pa.RecordBatch.from_pydict({"x": node.take(pa.array(x)), "y": node.take(pa.array(y)), "sure": pa.array([sets is not None] * len(x))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -158,7 +188,7 @@ def close_in_tiles(members: DataFrame, most: int) -> DataFrame:
         if held:
             yield from done(pa.concat_tables(held))
 
-    return members.select("key", "t1", "t2", "node", "comp", "sig", "side").mapInArrow(run, f"x {kind}, y {kind}")
+    return members.select("key", "t1", "t2", "node", "comp", "sig", "side", "text").mapInArrow(run, f"x {kind}, y {kind}, sure boolean")
 
 
 def ordered(x: str, y: str) -> list:
@@ -202,12 +232,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
     left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    left = left.select("key", "node", "comp", "sig", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
+    left = left.select("key", "n", "node", "comp", "sig", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
                        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    dealt = left.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    rest = close_in_tiles(dealt, most).select(*ordered("x", "y")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    more = written(confirmed(rest, texts, words, percent), "rest-links")
+    left = written(left, "open-buckets")
+    few = left.filter(F.col("n") <= LARGE).withColumn("text", F.lit(None).cast("string"))
+    many = left.filter(F.col("n") > LARGE).join(texts, "node")
+    dealt = few.unionByName(many).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    found = written(close_in_tiles(dealt, most, words, percent), "rest")
+    rest = found.filter(~F.col("sure")).select(*ordered("x", "y")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = confirmed(rest, texts, words, percent).unionByName(found.filter("sure").select(*ordered("x", "y")))
+    more = written(more, "rest-links")
     labels = components(links.unionByName(more))
 
     out = sigs.join(classes, same, "left").join(labels, "node", "left")
