@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[^#*$%&|<>]"
+SYMBOLS = r"[^#*$%&|<>]+"
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|"
     r"click here|sign up|log ?in to|subscribe (now|to)|enable javascript|share (this|on)|read more)"
@@ -58,16 +58,19 @@ def repeated_words(words: Column, n: Column, k: int = 5) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails: navigation, symbols, capitals, boilerplate, or no punctuation."""
-    n = F.size(words_of(line))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    navigation = F.length(F.regexp_replace(line, r"[^|»›·]", "")) >= 3
-    symbolic = 10 * symbols_in(line) > 3 * n
-    shouted = (n >= 4) & (10 * capitals > 7 * letters)
-    boilerplate = (n <= 20) & line.rlike(BOILERPLATE)
-    ended = line.rlike(r"[.!?:;…。！？\"'”’»)\]][\x20\x09-\x0D]*$")
-    unpunctuated = ~ended & ((n < 4) | ~line.rlike(r"[.!?,;:]"))
-    return navigation | symbolic | shouted | boilerplate | unpunctuated
+
+    def judged(n: Column) -> Column:
+        letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+        capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+        navigation = line.rlike(r"[|»›·][^|»›·]*[|»›·][^|»›·]*[|»›·]")
+        symbolic = line.rlike(r"[#*$%&|<>]") & (10 * symbols_in(line) > 3 * n)
+        shouted = (n >= 4) & (10 * capitals > 7 * letters)
+        boilerplate = (n <= 20) & line.rlike(BOILERPLATE)
+        ended = line.rlike(r"[.!?:;…。！？\"'”’»)\]][\x20\x09-\x0D]*$")
+        unpunctuated = ~ended & ((n < 4) | ~line.rlike(r"[.!?,;:]"))
+        return navigation | symbolic | boilerplate | unpunctuated | shouted
+
+    return let(F.size(words_of(line)), judged)
 
 
 def line_first_clean(docs: DataFrame, text: str = "text", into: str = "quality", least_kept: float = 0.5, min_words: int = 10, most_repeated: int = 20) -> DataFrame:
