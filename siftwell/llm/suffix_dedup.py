@@ -9,8 +9,9 @@ combined by grouping instead of one global array, which no single machine could
 
 1. anchors are grouped by the 73 bytes that every string through them shares; an anchor seen once has no repeats,
 2. anchors with equal whole contexts (first start to last end) repeat for all their starts at once,
-3. where one anchor has several contexts, its starts are compared one by one on hashes of 128 bits; of equal contexts
-   only one takes part.
+3. where one anchor has several contexts, its starts are cut into groups of sixteen by their distance from the anchor,
+   and each group is treated as an anchor of its own: dropped if what all its strings share stands once, done if its
+   context repeats, else cut again, into single starts. Of equal contexts only one goes on.
 
 Groups are counted with partial sums; a passage that a third of all documents share costs one row for each of its
 contexts. Texts are read whole; a text travels only when its own starts are compared and when it is cut.
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import discard, written
+from siftwell.llm._store import discard, release, written
 from siftwell.llm._text import U64, Rolling, column, mix, slices
 
 GRAM = 8
 CORE = 73
+SHAPE = "k long, c long, r1 long, r2 int, lo int, hi int, t int, rep boolean"
 
 
 def gram_keys(data: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(k, c, r1, r2, lo, hi): for each anchor the hashes of its core and its context, and its starts."""
+    """For each anchor the hashes of its core and its context, its row, its starts and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,54 +101,67 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
                     "k": pa.array(rolling.of(t, t + CORE).view(np.int64)), "c": pa.array(c.view(np.int64)),
                     "r1": batch.column(0).take(take), "r2": batch.column(1).take(take),
                     "lo": pa.array((lo - at[row]).astype(np.int32)), "hi": pa.array((hi - at[row]).astype(np.int32)),
+                    "t": pa.array((t - at[row]).astype(np.int32)), "rep": pa.array(np.zeros(len(t), dtype=bool)),
                 })
 
-    return rows.select("r1", "r2", "text").mapInArrow(run, "k long, c long, r1 long, r2 int, lo int, hi int")
+    return rows.select("r1", "r2", "text").mapInArrow(run, SHAPE)
 
 
-def start_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """(k, w, r1, r2, at, rep): a hash for each start of the runs listed with a text."""
+def finer(rows: DataFrame, length: int, grid: int) -> DataFrame:
+    """The listed runs of each text in groups of at most `grid` starts, by distance from the anchor; columns as of anchors()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column(batch.column(2))
             runs = batch.column(3)
-            fields = [runs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi", "k", "rep")]
+            fields = [runs.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi", "t", "k", "rep")]
             bounds = np.concatenate([[0], np.cumsum(np.array([len(x) for x in runs], dtype=np.int64))])
             for r in range(batch.num_rows):
-                lo, hi, k, rep = (f[bounds[r] : bounds[r + 1]] for f in fields)
+                lo, hi, t, k, rep = (f[bounds[r] : bounds[r + 1]] for f in fields)
                 rolling = Rolling(data[offsets[r] : offsets[r + 1]], 1)
-                n = (hi - lo + 1).astype(np.int64)
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                each = pa.array(np.full(len(at), r))
+                near, far = (t - hi) // grid, (t - lo) // grid
+                n = (far - near + 1).astype(np.int64)
+                of = np.repeat(np.arange(len(n)), n)
+                g = near[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                last, first = np.minimum(hi[of], t[of] - g * grid), np.maximum(lo[of], t[of] - (g + 1) * grid + 1)
+                shared = rolling.of(t[of] - g * grid, t[of] - (g + 1) * grid + 1 + length)
+                key = mix(k[of].view(np.uint64) + g.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) ^ shared
+                context = mix(rolling.of(first, last + length) + (t[of] - first).astype(np.uint64) * U64(0xFF51AFD7ED558CCD))
+                each = pa.array(np.full(len(of), r))
                 yield pa.RecordBatch.from_pydict({
-                    "k": pa.array(np.repeat(k, n)), "w": pa.array(rolling.of(at, at + length).view(np.int64)),
-                    "r1": batch.column(0).take(each), "r2": batch.column(1).take(each), "at": pa.array(at.astype(np.int32)), "rep": pa.array(np.repeat(rep, n).astype(bool)),
+                    "k": pa.array(key.view(np.int64)), "c": pa.array(context.view(np.int64)), "r1": batch.column(0).take(each), "r2": batch.column(1).take(each),
+                    "lo": pa.array(first.astype(np.int32)), "hi": pa.array(last.astype(np.int32)), "t": pa.array(t[of].astype(np.int32)), "rep": pa.array(rep[of].astype(bool)),
                 })
 
-    return rows.select("r1", "r2", "text", "runs").mapInArrow(run, "k long, w long, r1 long, r2 int, at int, rep boolean")
+    return rows.select("r1", "r2", "text", "runs").mapInArrow(run, SHAPE)
 
 
 def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     """(r1, r2, ranges): for each row with repeats the ranges (a, b) of bytes that repeated strings cover."""
     if length < CORE + GRAM:
         raise ValueError(f"strings are {CORE + GRAM} bytes at least")
-    every = written(anchors(rows, length), "anchors")
-    again = every.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k")
-    some = written(every.join(again, "k", "left_semi"), "anchors-again")
-    discard(every)
-    rep = F.struct("r1", "r2", "lo", "hi")
-    contexts = written(some.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.min(rep).alias("one")), "contexts")
-    whole = some.join(contexts.filter(F.col("n") > 1).select("k", "c"), ["k", "c"], "left_semi")
-    whole = whole.select("r1", "r2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > 1).select("k")
-    runs = contexts.join(several, "k", "left_semi").select("one.r1", "one.r2", F.struct("one.lo", "one.hi", "k", (F.col("n") > 1).alias("rep")).alias("run"))
-    runs = runs.groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))  # no more than the text has bytes
-    starts = written(start_hashes(rows.join(runs, ["r1", "r2"]), length), "starts")
-    equal = starts.groupBy("k", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k", "w")
-    single = starts.filter(~F.col("rep")).join(equal, ["k", "w"], "left_semi").select("r1", "r2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    ranges = whole.unionByName(single).groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    return written(ranges, "ranges")
+    every, done = anchors(rows, length), []
+    for grid in (16, 1, 0):
+        every = written(every, "anchors")
+        again = every.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k")
+        some = written(every.join(again, "k", "left_semi"), "anchors-again")
+        discard(every)
+        one = F.min(F.struct("r1", "r2", "lo", "hi", "t", "rep")).alias("one")
+        contexts = written(some.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
+        release(rows.sparkSession)
+        whole = some.filter(~F.col("rep")).join(contexts.filter(F.col("n") > 1).select("k", "c"), ["k", "c"], "left_semi")
+        done.append(whole.select("r1", "r2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
+        if not grid:
+            break
+        several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > 1).select("k")
+        run = F.struct("one.lo", "one.hi", "one.t", "k", (F.col("one.rep") | (F.col("n") > 1)).alias("rep")).alias("run")
+        runs = contexts.join(several, "k", "left_semi").select("one.r1", "one.r2", run)
+        runs = runs.groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))  # no more than the text has bytes
+        every = finer(rows.join(runs, ["r1", "r2"]), length, grid)
+    found = done[0].unionByName(done[1]).unionByName(done[2])
+    found = written(found.groupBy("r1", "r2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    release(rows.sparkSession)
+    return found
 
 
 def removed_mask(n: int, ranges) -> np.ndarray:
