@@ -19,7 +19,7 @@ PARTS[[9, 10, 13, 32]] = False
 
 
 class WordEncoder:
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -28,30 +28,34 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids, self.ends = [np.zeros(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
-        self.flat, self.at = self.ids[0], self.ends[0]
+        # sorted hashes of words and their numbers; the ids of word n are flat[at[n] : at[n + 1]]
+        self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.flat, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def known(self, data: np.ndarray, words: Words) -> np.ndarray:
         """The cache's number of each word; unknown words are encoded first."""
         keys, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.index) > self.most:
+        if len(self.keys) > self.most:
             self.forget()
-        numbers = [self.index.get(k, -1) for k in keys.tolist()]
-        numbers = np.array(numbers, dtype=np.int64)
+        place = np.searchsorted(self.keys, keys)
+        numbers = np.full(len(keys), -1, dtype=np.int64)
+        near = np.flatnonzero(place < len(self.keys))
+        hit = near[self.keys[place[near]] == keys[near]]
+        numbers[hit] = self.numbers[place[hit]]
         new = np.flatnonzero(numbers < 0)
         if len(new):
             raw = data.tobytes()
             at = first[new]
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
             got = [x.ids for x in self.encode(texts, add_special_tokens=False)]
-            base = len(self.index)
-            self.index.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
+            base = len(self.keys)
+            numbers[new] = np.arange(base, base + len(new))
+            self.keys = np.insert(self.keys, place[new], keys[new])
+            self.numbers = np.insert(self.numbers, place[new], numbers[new].astype(np.int32))
             lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
             flat = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(lengths.sum()))
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-            numbers[new] = np.arange(base, base + len(new))
         return numbers[back]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

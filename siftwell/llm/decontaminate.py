@@ -9,7 +9,7 @@ fingerprinted; that bound is exact.
 
 The benchmark is a query set: it is taken in blocks of a bounded number of bytes, each broadcast in turn
 and held against all rows, without any shuffle of documents. Words are runs of letters, digits and non-ASCII characters,
-lower-cased, so case and punctuation make no difference.
+A-Z in lower case, so ASCII case and punctuation make no difference.
 
 Defined cases: null and empty texts and items without words match nothing; items of fewer words than a shingle
 are one shingle and match exactly; repeated items each match; repeated rows match alike; a null id is kept as such.
@@ -170,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold a window similar to an item."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
+    spark, at, names, schema = docs.sparkSession, docs.columns.index(text), docs.columns, docs.schema
     for items in item_blocks(benchmark, item_id, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(items)
 
@@ -180,9 +180,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for row, *_ in batch_matches(index, batch.column(at)):
                     clean[row] = False
-                yield batch.filter(pa.array(clean))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean)).columns, names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # whatever the columns are called
     return docs
 
 

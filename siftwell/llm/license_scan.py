@@ -39,8 +39,8 @@ TEMPLATES = (
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nc", "CC BY-NC"),
+    ("cc-by-sa", "CC BY-SA"),
     ("proprietary", "All rights reserved."),
 )
 

@@ -202,7 +202,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     keys = F.xxhash64(F.col(f"`{id_col}`"), F.col(name)), F.hash(F.col(name), F.col(f"`{id_col}`"))
     found = repeated_ranges(keyed(docs, id_col, text), length).withColumnsRenamed({"r1": "__r1", "r2": "__r2", "ranges": "__ranges"})
     joined = docs.withColumn("__r1", keys[0]).withColumn("__r2", keys[1]).join(found, ["__r1", "__r2"], "left").drop("__r1", "__r2")
-    at, ranges_at = joined.columns.index(text), joined.columns.index("__ranges")
+    at, ranges_at, names = joined.columns.index(text), joined.columns.index("__ranges"), docs.columns
+    joined = joined.toDF(*[f"c{i}" for i in range(len(joined.columns))])  # whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +217,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
                 whole = np.logical_and.reduceat(gone, head)
                 texts.append(part[~np.repeat(whole, np.diff(np.append(head, len(part))))].tobytes().decode())
             columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns) if c != ranges_at]
-            yield pa.RecordBatch.from_arrays(columns, [x for x in batch.schema.names if x != "__ranges"])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
 
