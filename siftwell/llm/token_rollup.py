@@ -1,7 +1,8 @@
 """Token counts by source, language and tokenizer version, kept up to date by signed deltas.
 
 A batch is a set of changes: inserts count texts positively, deletes negatively, revisions both ways. Each task adds up
-its own signed counts, so a shuffle moves one row for each task and group, however large a source is. A batch is
+its own signed counts, so a shuffle moves one row for each task and group, however large a source is. Changes carry texts,
+or counts kept from an earlier count: a deleted or revised document then needs neither its text nor its tokenizer. A batch is
 committed by renaming its written deltas to a folder named by its id; a batch that is already there, and a second
 attempt that loses the race, change nothing. Totals are sums over committed batches, so the order of commits does not matter.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import new_path
+from siftwell.llm._store import new_path, written
 from siftwell.llm._text import Words, column, slices
 from siftwell.llm._tokens import encoder, tokenizer_path
 
@@ -39,7 +40,10 @@ def word_counts(data, offsets) -> list[int]:
 
 
 def deltas(changes: DataFrame, tokenizers: dict[str, str | None] | None = None, folder: str | None = None) -> DataFrame:
-    """Signed counts of changes (source, lang, text, sign)."""
+    """Signed counts of changes (source, lang, sign, and text or counts); counts bring their own versions."""
+    if "counts" in changes.columns:
+        each = changes.select("source", "lang", "sign", F.explode("counts").alias("tokenizer", "n"))
+        return each.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n")).alias("n_tokens"))
     versions = {k: v and tokenizer_path(v, folder) for k, v in (TOKENIZERS if tokenizers is None else tokenizers).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +66,27 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str | None] | None = None,
     return counted.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def counted(docs: DataFrame, keep: tuple[str, ...] = (), tokenizers: dict[str, str | None] | None = None, folder: str | None = None) -> DataFrame:
+    """The columns `keep`, source, lang and `counts` (tokens by version) of each document, in place of its text."""
+    versions = {k: v and tokenizer_path(v, folder) for k, v in (TOKENIZERS if tokenizers is None else tokenizers).items()}
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("source").cast("string"), F.col("lang").cast("string"), "text")
+    schema = rows.withColumn("counts", F.lit(None).cast("map<string,bigint>")).drop("text").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, text = batch.columns
+            data, offsets = column(text)
+            n = [word_counts(data, offsets) if path is None else encoder(path).counts(data, offsets).tolist() for path in versions.values()]
+            maps = pa.array([list(zip(versions, x, strict=True)) for x in zip(*n, strict=True)], pa.map_(pa.string(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others, maps], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def signed(docs: DataFrame, sign: int) -> DataFrame:
-    """Inserts (1) or deletes (-1) of documents."""
-    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text", F.lit(sign).alias("sign"))
+    """Inserts (1) or deletes (-1) of documents, by their counts where they have been counted."""
+    content = "counts" if "counts" in docs.columns else "text"
+    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), content, F.lit(sign).alias("sign"))
 
 
 def revised(docs: DataFrame, new_text) -> DataFrame:
@@ -121,11 +143,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id").distinct()
     rollup = TokenRollup(spark, new_path(spark, "rollup"))
     lines = F.split("text", "\n")
-    repeats = F.size(F.array_distinct(lines)) < F.size(lines)
-    distinct = F.array_join(F.array_distinct(lines), "\n")
-    rollup.commit("load", signed(docs, 1))
-    revisions = revised(docs.filter(repeats), distinct)
+    repeats = F.coalesce(F.size(F.array_distinct(lines)) < F.size(lines), F.lit(False))
+    # each version of a text is counted once; ids and counts, not texts, meet the labels
+    loaded = written(counted(docs.withColumn("repeats", repeats), ("doc_id", "repeats")), "counts")
+    after = docs.filter(repeats).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    after = written(counted(after, ("doc_id",)), "revised-counts")
+    rollup.commit("load", signed(loaded, 1))
+    revisions = signed(loaded.filter("repeats"), -1).unionByName(signed(after, 1))
     rollup.commit("revise", revisions)
     rollup.commit("revise", revisions)
-    rollup.commit("delete", signed(docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.when(repeats, distinct).otherwise(F.col("text"))), -1))
+    now = loaded.filter("NOT repeats").drop("repeats").unionByName(after)
+    rollup.commit("delete", signed(now.join(toxic, "doc_id", "left_semi"), -1))
     return rollup.totals()

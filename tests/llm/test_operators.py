@@ -146,6 +146,10 @@ def test_rollup(spark, docs):
         if i is None or i >= 3:
             want[source, lang] += len((("two words" if i == 19 else t) or "").encode().split())
     assert {(r.source, r.lang): r.n_tokens for r in rollup.totals().collect()} == dict(want)
+    kept = token_rollup.counted(docs, ("doc_id",), words)
+    assert kept.columns == ["doc_id", "source", "lang", "counts"] and token_rollup.counted(none(spark)).collect() == []
+    assert rollup.commit("d", token_rollup.signed(kept.filter("doc_id IS NULL OR doc_id >= 3 AND doc_id <> 19"), -1))
+    assert {(r.source, r.lang, r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {("s0", "en", 1, 2)}  # the revised one is left
 
 
 def test_suffix_dedup(spark, docs):
