@@ -2,7 +2,8 @@
 
 For each host, paths are cut into segments and variable segments (numbers, long hexadecimal strings, dates)
 become wildcards; then, level by level from the leaves, sibling templates whose labelled block rates do not
-differ significantly are merged under a wildcard, so that sparse branches share their evidence. A template is
+differ significantly are merged under a wildcard, so that sparse branches share their evidence. A branch without any
+labelled row has no evidence that it is like its labelled siblings: it stays a template of its own. A template is
 rejected when its smoothed purity, (blocked + prior * strength) / (labelled + strength), reaches a threshold.
 
 Labels are the verdicts of the rules (or any boolean column, true = block). All counts are plain sums by
@@ -58,7 +59,9 @@ def merged_templates(counts: DataFrame, depth: int, z: float) -> DataFrame:
     """(host, leaf, template): where each leaf template ends after merging similar siblings, deepest level first.
 
     A branch differs from its siblings when |p - q| > z * sqrt(m * (1 - m) * (1/n + 1/k)), with p over n of its own
-    labelled rows, q over k of the others', m of both, each count smoothed by one half. Unlabelled branches never differ.
+    labelled rows, q over k of the others', m of both, each count smoothed by one half. An unlabelled branch stays on its
+    own where a sibling is labelled; where none is, all are merged. Beside a branch `*` that stays on its own, the
+    merged siblings are `*?`, which no segment of a path can be.
     """
     tree = counts.withColumn("template", F.col("leaf"))
     for level in range(depth, 0, -1):
@@ -72,11 +75,14 @@ def merged_templates(counts: DataFrame, depth: int, z: float) -> DataFrame:
         p, q = (F.col("b") + 0.5) / n, (F.col("all_b") - F.col("b") + 0.5) / k
         m = (F.col("all_b") + 1.0) / (F.col("all_n") + 2.0)
         differs = (F.col("n") > 0) & (F.col("all_n") > F.col("n")) & (F.abs(p - q) > z * F.sqrt(m * (1 - m) * (1 / n + 1 / k)))
-        kept = branch.join(total, ["host", "parent", "below"]).filter(differs).select("host", "parent", "below", "seg", F.lit(True).alias("own"))
+        unlabelled = (F.col("n") == 0) & (F.col("all_n") > 0)
+        kept = branch.join(total, ["host", "parent", "below"]).filter(differs | unlabelled).select("host", "parent", "below", "seg", F.lit(True).alias("own"))
+        taken = kept.filter("seg = '*'").select("host", "parent", "below", F.lit("*?").alias("wild"))
+        merged = F.when(F.col("seg") == "**", F.lit("**")).otherwise(F.coalesce("wild", F.lit("*")))
         tree = written(
-            keyed.join(kept, ["host", "parent", "below", "seg"], "left")
+            keyed.join(kept, ["host", "parent", "below", "seg"], "left").join(taken, ["host", "parent", "below"], "left")
             .withColumn("template", F.when(~deep | F.coalesce("own", F.lit(False)), F.col("template")).otherwise(
-                F.concat(F.slice("template", 1, level - 1), F.array(F.when(F.col("seg") == "**", F.lit("**")).otherwise(F.lit("*"))), F.slice("template", level + 1, depth + 1))))
+                F.concat(F.slice("template", 1, level - 1), F.array(merged), F.slice("template", level + 1, depth + 1))))
             .select("host", "leaf", "blocked", "labelled", "template"),
             "url-tree",
         )

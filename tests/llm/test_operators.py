@@ -211,6 +211,16 @@ def test_urls(spark):
     }
 
 
+def test_urls_without_labels_are_not_judged_by_labelled_siblings(spark):
+    firsts = ["es"] * 4 + ["fr"] * 4 + ["en", "de", "7"] * 2  # rules label es and fr only, and only as block
+    d = spark.createDataFrame([(i, f"http://shop.net/{s}/{i}.html") for i, s in enumerate(firsts)], "page_id long, url string")
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in url_filter.url_verdicts(d).collect()}
+    of = {"es": ("/*?/*", 0.7, "block"), "fr": ("/*?/*", 0.7, "block"), "en": ("/en/*", 0.1, "allow"), "de": ("/de/*", 0.1, "allow"), "7": ("/*/*", 0.1, "allow")}
+    assert got == {i: of[s] for i, s in enumerate(firsts)}
+    plain = {r.page_id: r.template for r in url_filter.url_verdicts(d.filter("url NOT LIKE '%/7/%'")).collect()}
+    assert plain == {i: "/*/*" if s in ("es", "fr") else f"/{s}/*" for i, s in enumerate(firsts) if s != "7"}
+
+
 def test_quality(spark, docs):
     got = quality.line_first_clean(docs).select("doc_id", "text", "quality.*", "`a.b`").collect()
     assert len(got) == len(ROWS)
