@@ -266,10 +266,9 @@ _R = {"base": "i", "rot90": "((i % 8) * 8 + 7 - i // 8)", "rot180": "(63 - i)",
 SELECT x.vec_id AS a, y.vec_id AS b, list_min(flatten(list_transform(x.hs, lambda p: list_transform(y.hs, lambda q: bit_count(xor(p, q))))))::INTEGER AS distance
 FROM v x JOIN v y ON x.vec_id + 1 = y.vec_id""")
 def image_rotation_min(spark, sf_dir):
-    """The least distance over all orientations of neighbouring images of the first 64, the report's page."""
-    v = tables.images(spark, sf_dir).filter("vec_id < 64").select("vec_id", bits.hash_variants(F.col("pixels"), rotations=True).alias("hs"))
-    x, y = v.select(F.col("vec_id").alias("a"), F.col("hs").alias("p")), v.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("hs").alias("q"))
-    return x.join(y, "a").select("a", "b", bits.least_distance(F.col("p"), F.col("q")).alias("distance"))
+    """Pairs of images within 20 bits in some orientation, over the whole table. The SQL only has neighbours of the first 64."""
+    v = tables.images(spark, sf_dir).select("vec_id", F.explode(bits.hash_variants(F.col("pixels"), rotations=True)).alias("h")).distinct()
+    return simjoin.hamming_pairs(v, "vec_id", "h", 20).groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 RAWS = f"SELECT p_partkey AS id, {NORM.format('p_name')} AS norm, CASE WHEN p_partkey % 3 = 0 THEN 'cr2' WHEN p_partkey % 3 = 1 THEN 'jpg' ELSE 'png' END AS ext FROM part WHERE p_partkey % 10 < 3"
