@@ -16,3 +16,17 @@ def test_rotations_of_all_images(spark, tmp_path):
     hs = {i: hashes(p) for i, p in px.items()}
     least = {(a, b): min((x ^ y).bit_count() for x in hs[a] for y in hs[b]) for a in px for b in px if a < b}
     assert got == {k: d for k, d in least.items() if d <= 20} and got[2, 89] == 0
+
+
+def test_raw_pairs_of_all_parts(spark, tmp_path):
+    rows = [(i, f"red  Rose{i % 2}") for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r.raw_id, r.jpeg_id) for r in catalog.QUERIES["raw_jpeg_pairs"](spark, str(tmp_path)).collect())
+    assert got == sorted((a, b) for a in range(0, 40, 3) for b in range(1, 40, 3) if a % 2 == b % 2)
+
+
+def test_components_of_all_orders(spark, tmp_path):
+    rows = [(i, i // 2) for i in range(60)]  # two orders for each customer
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.node: r.comp for r in catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()}
+    assert got == {c: -2 * c - 2 for c in range(30)} | {-i - 1: -2 * (i // 2) - 2 for i in range(60)}
