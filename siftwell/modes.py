@@ -6,10 +6,11 @@ import dataclasses
 import threading
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import bits, magic, names
+from siftwell.functions import bits, magic, names, tags
 from siftwell.operators import ranking, refine, report, simjoin
 from siftwell.sources import fswalk, media, zips
 from siftwell.store import written
@@ -119,7 +120,6 @@ def _raw_pairs(files):
 
 def _images(spark, files, c: ScanConfig):
     import numpy as np
-    import pandas as pd
 
     n, rotations, side = c.image_size, c.rotations, 8
     if n != side:
@@ -136,40 +136,59 @@ def _images(spark, files, c: ScanConfig):
 
         return pd.Series([one(*x) for x in zip(h, w, channels, data, strict=True)])
 
+    @F.pandas_udf("string")
+    def taken(paths: pd.Series) -> pd.Series:
+        def one(path):
+            try:
+                with open(path, "rb") as f:
+                    return media.exif_date(f.read())
+            except OSError:
+                return None
+
+        return paths.map(one).astype(object)
+
     paths = [r.path for r in files.filter(magic.of_kind(names.extension(names.base_name(F.col("path"))), magic.IMAGE)).select("path").toLocalIterator()]
     raw = _raw_pairs(files)
     if not paths:
         return linked(files, raw, "similar-images")
     read = spark.read.format("image").option("dropInvalid", True).load([f"file://{p}" for p in paths]).select("image.*")
     px = read.select(F.regexp_replace("origin", "^file:/+", "/").alias("path"), shrunk("height", "width", "nChannels", "data").alias("px"))
-    hashes = written(px.select("path", bits.hash_variants(F.col("px"), 8, rotations).alias("hs")), "image-hashes")
+    hashes = written(px.select("path", bits.hash_variants(F.col("px"), 8, rotations).alias("hs"), taken("path").alias("date")), "image-hashes")
     variants = hashes.select("path", F.explode("hs").alias("h"))
     pairs = simjoin.hamming_pairs(variants, "path", "h", c.image_threshold).groupBy("a", "b").agg(F.min("distance").alias("d"))
-    near = pairs.select("a", "b", bits.image_score(F.col("d")).alias("score"), F.format_string("perceptual hash distance %d", F.col("d")).alias("reason"))
+    x, y = (hashes.select(F.col("path").alias(side), F.col("date").alias(f"date_{side}")) for side in "ab")
+    dated = F.when(F.col("date_a") == F.col("date_b"), F.concat(F.lit(" with matching EXIF date "), "date_a"))
+    reason = F.concat(F.format_string("perceptual hash distance %d", F.col("d")), F.coalesce(dated, F.lit("")))
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", bits.image_score(F.col("d")).alias("score"), reason.alias("reason"))
     return linked(files, raw.unionByName(near), "similar-images")
 
 
 def _media(files, c: ScanConfig, video: bool):
-    import pandas as pd
-
     def run(frames):
         for f in frames:
             rows = []
             for p in f["path"]:
                 try:
                     rows.append({"id": p, **media.analyze(p, video)})
-                except Exception:  # noqa: BLE001 - an unreadable file is left out
-                    continue
+                except Exception as e:  # noqa: BLE001 - an unreadable file is an error of the report
+                    rows.append({"id": p, "error": str(e) or type(e).__name__})
             if rows:
-                yield pd.DataFrame(rows)[["id", "duration", "title", "artist", "album", "fingerprint"]]
+                yield pd.DataFrame(rows, columns=["id", "duration", "title", "artist", "album", "fingerprint", "error"])
 
     kind = magic.VIDEO if video else magic.AUDIO
     wanted = files.filter(magic.of_kind(names.extension(names.base_name(F.col("path"))), kind))
-    found = written(wanted.select("path").mapInPandas(run, "id string, duration double, title string, artist string, album string, fingerprint string"), "media")
-    pairs = simjoin.band_pairs(found, c.duration_tolerance, c.media_threshold)
+    found = written(wanted.select("path").mapInPandas(run, "id string, duration double, title string, artist string, album string, fingerprint string, error string"), "media")
+    read = found.filter("error IS NULL")
+    pairs = simjoin.band_pairs(read, c.duration_tolerance, c.media_threshold)
     label = "similar-videos" if video else "similar-audio"
     reason = F.format_string("duration delta %.2fs, fingerprint distance %d", F.col("delta"), F.col("distance"))
-    return linked(wanted, pairs.select("a", "b", bits.media_score(F.col("distance")).alias("score"), reason.alias("reason")), label)
+    if not video:
+        x, y = (read.select(F.col("id").alias(side), *[F.col(t).alias(f"{side}_{t}") for t in tags.AUDIO_TAGS]) for side in "ab")
+        pairs = pairs.join(x, "a").join(y, "b")
+        left, right = ({t: F.col(f"{side}_{t}") for t in tags.AUDIO_TAGS} for side in "ab")
+        reason = F.concat(reason, F.coalesce(F.concat(F.lit(", metadata "), tags.shared_tags(left, right, values=True)), F.lit("")))
+    failed = found.filter("error IS NOT NULL").select(F.col("id").alias("path"), "error")
+    return linked(wanted, pairs.select("a", "b", bits.media_score(F.col("distance")).alias("score"), reason.alias("reason")), label), failed
 
 
 def _folders(spark, c: ScanConfig):
@@ -220,7 +239,8 @@ def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None,
         items = linked(files, _raw_pairs(files), "raw-jpeg-pairs")
     elif c.mode in ("similar-videos", "similar-audio"):
         files = files.filter(magic.of_kind(ext, magic.VIDEO if c.mode == "similar-videos" else magic.AUDIO))
-        items = _media(files, c, c.mode == "similar-videos")
+        items, failed = _media(files, c, c.mode == "similar-videos")
+        errors += [f"{r.path}: {r.error}" for r in failed.collect()]
     elif c.mode == "duplicate-folders":
         items, scanned = _folders(spark, c)
     elif c.mode == "empty-files":

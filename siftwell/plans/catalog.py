@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions import bits, hashing, magic, names
+from siftwell.functions import bits, hashing, magic, names, tags
 from siftwell.operators import cache_join, ranking, refine, simjoin
 from siftwell.operators.components import components
 from siftwell.sources import tables
@@ -296,11 +296,13 @@ def media_band_join(spark, sf_dir):
 SELECT x.id AS a, y.id AS b, nullif(concat_ws(', ', CASE WHEN x.title = y.title THEN 'title' END, CASE WHEN x.artist = y.artist THEN 'artist' END, CASE WHEN x.album = y.album THEN 'album' END), '') AS basis
 FROM m x JOIN m y ON y.id = x.id + 1""")
 def audio_metadata_reason(spark, sf_dir):
-    m = tables.media(spark, sf_dir).filter("id < 400").selectExpr("id", "event_type AS title", "user_id % 5 AS artist", "CASE WHEN id % 3 = 0 THEN NULL ELSE user_id % 2 END AS album")
-    y = m.select(*[F.col(c).alias(f"{c}2") for c in m.columns])
-    joined = m.join(y, F.col("id2") == F.col("id") + 1)
-    parts = F.concat_ws(", ", *[F.when(F.col(c) == F.col(f"{c}2"), F.lit(c)) for c in ("title", "artist", "album")])
-    return joined.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.nullif(parts, F.lit("")).alias("basis"))
+    """Tags shared by all pairs of media_band_join. The SQL only has neighbours of the first 400."""
+    m = tables.media(spark, sf_dir)
+    known = m.selectExpr("id", "event_type AS title", "user_id % 5 AS artist", "CASE WHEN id % 3 = 0 THEN NULL ELSE user_id % 2 END AS album")
+    x, y = (known.select(F.col("id").alias(side), *[F.col(t).alias(f"{side}_{t}") for t in tags.AUDIO_TAGS]) for side in "ab")
+    joined = simjoin.band_pairs(m, 0.5, 32).select("a", "b").join(x, "a").join(y, "b")
+    left, right = ({t: F.col(f"{side}_{t}") for t in tags.AUDIO_TAGS} for side in "ab")
+    return joined.select("a", "b", tags.shared_tags(left, right).alias("basis"))
 
 
 @query(f"""WITH {DOCS} SELECT path, size, row_number() OVER (ORDER BY is_protected DESC, size DESC, modified_unix NULLS FIRST, lower(path), path)::INTEGER AS rank FROM docs WHERE size >= 4096""")
