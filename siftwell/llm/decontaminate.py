@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index on Hamming blocks, exact verification.
 
-Every window of as many words as an item has is a candidate for that item. Its 64-bit SimHash over weighted shingles is
+Every window of as many words as an item has is a candidate for that item; a document with fewer words is one window, as
+long as it has enough shingles for the similarity. Its 64-bit SimHash over weighted shingles is
 looked up in eight blocks of eight bits: fingerprints within a distance of `radius` agree in some block up to
 radius // 8 bits, and the tables hold every block value within that many errors, so no fingerprint within the radius is
 missed. Candidates are verified by the similarity of their weighted shingles (sum of the smaller over sum of the larger
@@ -66,9 +67,7 @@ class ItemIndex:
                 value = ((prints >> U64(b * BITS)) & U64((1 << BITS) - 1)).astype(np.int64)
                 for e in near:
                     tables[b, value ^ e, np.arange(len(group))] = True
-            # of windows of m shingles at a similarity s at least 2 m s / (1 + s) are shared
-            need = max(1, math.ceil(2 * m * similarity / (1 + similarity) - 1e-9))
-            self.sizes[n] = {"m": m, "need": need, "prints": prints, "tables": tables, "items": [(i, Counter(s.tolist())) for i, s in group]}
+            self.sizes[n] = {"m": m, "prints": prints, "tables": tables, "items": [(i, Counter(s.tolist())) for i, s in group]}
         self.known = {}
         for width in {min(k, n) for n in self.sizes}:
             own = [s for n, g in by_size.items() if min(k, n) == width for _, s in g]
@@ -89,6 +88,10 @@ class ItemIndex:
             flag[crossing[(crossing >= 0) & (crossing < len(flag))]] = False
         return s, flag
 
+    def need(self, m: int, w: int) -> int:
+        """Of an item of m and a window of w shingles at a similarity s at least (m + w) s / (1 + s) are shared."""
+        return max(1, math.ceil((m + w) * self.similarity / (1 + self.similarity) - 1e-9))
+
     def matches(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, object, int, int, float, int]]:
         """(row, item, first word, words, similarity, distance) of every window that meets the similarity."""
         for width, _ in self.known.items():
@@ -100,25 +103,26 @@ class ItemIndex:
             for row in np.flatnonzero(total[upto[1:]] > total[upto[:-1]]).tolist():
                 a, b = int(bounds[row]), int(bounds[row + 1])
                 for n, g in self.sizes.items():
-                    if min(self.k, n) != width or b - a < n:
+                    m, length = g["m"], min(n, b - a)  # a row shorter than the item is one window
+                    w = length - width + 1
+                    if min(self.k, n) != width or w < 1 or self.need(m, w) > w:
                         continue
-                    m = g["m"]
-                    starts = np.arange(a, b - n + 1)
-                    starts = starts[total[starts + m] - total[starts] >= g["need"]]
+                    starts = np.arange(a, b - length + 1)
+                    starts = starts[total[starts + w] - total[starts] >= self.need(m, w)]
                     if not len(starts):
                         continue
                     base = int(starts[0])
-                    prints = fingerprints(s[base : int(starts[-1]) + m], starts - base, m)
+                    prints = fingerprints(s[base : int(starts[-1]) + w], starts - base, w)
                     near = np.zeros((len(starts), len(g["items"])), dtype=bool)
                     for block in range(BLOCKS):
                         near |= g["tables"][block, ((prints >> U64(block * BITS)) & U64((1 << BITS) - 1)).astype(np.int64)]
                     distance = np.bitwise_count(prints[:, None] ^ g["prints"][None, :])
                     for i, j in zip(*np.nonzero(near & (distance <= self.radius)), strict=True):
                         ident, counts = g["items"][j]
-                        window = Counter(s[starts[i] : starts[i] + m].tolist())
+                        window = Counter(s[starts[i] : starts[i] + w].tolist())
                         both = (window & counts).total()
-                        if both and both >= self.similarity * (2 * m - both) - 1e-9:
-                            yield row, ident, int(starts[i]) - a, n, both / (2 * m - both), int(distance[i, j])
+                        if both and both >= self.similarity * (m + w - both) - 1e-9:
+                            yield row, ident, int(starts[i]) - a, length, both / (m + w - both), int(distance[i, j])
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text: str, most: int) -> Iterator[list[tuple]]:

@@ -134,6 +134,15 @@ def test_decontamination(spark, docs):
     assert left.count() == len(ROWS) - 4 and left.columns == docs.columns
 
 
+def test_decontamination_of_trimmed_items(spark):
+    w = ITEM.split()  # 30 words, 26 shingles of 5: 21 of them are the least at 0.8
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([w[:-1], w[1:], w[2:-3], w[:24], w[:4], w[:12] + w[13:]])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: (r.first_word, r.n_words, round(r.similarity, 6)) for r in decontaminate.leaks(d, bench).collect()}
+    assert got == {0: (0, 29, round(25 / 26, 6)), 1: (0, 29, round(25 / 26, 6)), 2: (0, 25, round(21 / 26, 6))}
+    assert {r.doc_id for r in decontaminate.without_leaks(d, bench).collect()} == {3, 4, 5}
+
+
 def test_rollup(spark, docs):
     rollup = token_rollup.TokenRollup(spark, new_path(spark, "test"))
     words = {"w": None}
