@@ -4,7 +4,10 @@ Tokens are ordered by their frequency over all documents. A template's prefix ho
 that meets the containment threshold shares one of them, early enough (positional filter), and holds enough
 template tokens (length filter). Pairs that pass are verified on the full sets, so the join misses none.
 
-Blocks are the pieces of a text between matches of `separator` (lines by default). Template vocabulary is the
+Blocks are the pieces of a text between matches of `separator` (lines by default). A notice may also stand over several of
+them: in texts that hold enough words of a template, each run of as many words as the template has, and a quarter more at
+the default threshold (for words put in between), that begins at one of its words is a block as well; a run that begins
+elsewhere holds no more of them. Template vocabulary is the
 only thing that is broadcast; its size is that of the templates given, never that of the documents.
 
 Defined cases: a null or empty text has no words and no labels; repeated rows get equal results; a row with a
@@ -119,11 +122,30 @@ def license_matches(docs: DataFrame, key: list[str], text: str, templates=TEMPLA
     return candidates.filter(overlap >= F.col("need")).select(*key, "label", (overlap / F.col("t_size")).alias("containment"))
 
 
+def license_spans(docs: DataFrame, key: list[str], text: str, templates=TEMPLATES, threshold: float = 0.8, separator: str = "\n") -> DataFrame:
+    """(*key, label, containment): the best run of words for each template that meets the threshold, across blocks."""
+    spark = docs.sparkSession
+    lengths = [(label, len(tokens_of(t)), sorted(set(tokens_of(t)))) for label, t in templates]
+    index = spark.createDataFrame(
+        [(label, math.ceil(n / threshold - 1e-9), math.ceil(threshold * len(s) - 1e-9), s) for label, n, s in lengths],
+        "label string, width int, need int, t_words array<string>",
+    )
+    known = F.array(*[F.lit(x) for x in sorted({x for _, _, s in lengths for x in s})])
+    words = docs.filter(F.size(F.split(F.col(text), separator)) > 1).select(*key, F.split(F.trim(normalised(F.col(text))), " ").alias("words"))
+    held = words.withColumn("held", F.array_intersect("words", known)).filter(F.size("held") >= min(math.ceil(threshold * len(s) - 1e-9) for _, _, s in lengths))
+    fits = F.size(F.array_intersect("held", "t_words")) >= F.col("need")
+    runs = held.join(F.broadcast(index), fits).select(*key, "label", "width", "need", "t_words", "words")
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.col("t_words"), F.element_at("words", i)))
+    best = F.aggregate(starts, F.lit(0), lambda most, i: F.greatest(most, F.size(F.array_intersect(F.slice("words", i, F.col("width")), F.col("t_words")))))
+    return runs.withColumn("best", best).filter(F.col("best") >= F.col("need")).select(*key, "label", (F.col("best") / F.size("t_words")).alias("containment"))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = 0.8, separator: str = "\n") -> DataFrame:
     """One row per document: the base phrases' counts and places, all labels, and the best containment."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
     matches = (
         license_matches(source, ["doc_id", "h"], "text", templates, threshold, separator)
+        .unionByName(license_spans(source, ["doc_id", "h"], "text", templates, threshold, separator))
         .groupBy("doc_id", "h")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))  # at most the templates' labels
     )

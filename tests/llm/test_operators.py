@@ -54,6 +54,16 @@ def test_license_scan(spark, docs):
     assert license_scan.license_scan(none(spark)).collect() == []
 
 
+def test_license_notices_over_several_lines(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n#\n# are met:"
+    mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation\n * files (the \"Software\"), to deal in the\n * Software without restriction"
+    apart = "Redistribution and use in source and binary forms, with or without\n" + prose(40) + "\nmodification, are permitted provided that the following conditions are met"
+    texts = [f"{prose(30)}\n{bsd}\n{prose(30)}", f"{prose(9)}\n{mit}", f"{bsd}\n{mit}", "all or\nno rights\nare reserved", "All rights\nreserved.", apart]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(d).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("bsd,mit", 1.0), 3: ("", 0.0), 4: ("proprietary", 1.0), 5: ("", 0.0)}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
