@@ -6,7 +6,7 @@ differ significantly are merged under a wildcard, so that sparse branches share
 labelled row has no evidence that it is like its labelled siblings: it stays a template of its own. A template is
 rejected when its smoothed purity, (blocked + prior * strength) / (labelled + strength), reaches a threshold.
 
-Labels are the verdicts of the rules (or any boolean column, true = block). All counts are plain sums by
+Labels are the verdicts of the rules, or those of a boolean column (true = block). All counts are plain sums by
 (host, template): partial sums are made before each shuffle, so a host with a third of all rows costs no more
 than its distinct templates. Only distinct templates take part in merging.
 
@@ -89,13 +89,22 @@ def merged_templates(counts: DataFrame, depth: int, z: float) -> DataFrame:
     return tree
 
 
-def url_verdicts(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, depth: int = 3, z: float = 1.96, prior: float = 0.1, strength: float = 4.0, purity: float = 0.6) -> DataFrame:
-    """One row per page: host, path, the rule that fits, the template, its smoothed purity and the verdict."""
+def url_verdicts(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RULES, depth: int | None = None, z: float = 1.96, prior: float = 0.1, strength: float = 4.0, purity: float = 0.6, label: str | None = None) -> DataFrame:
+    """One row per page: host, path, the rule that fits, the template, its smoothed purity and the verdict.
+
+    Templates have as many segments as the longest path, one round of merging each, or `depth` of them if it is given.
+    `label` names a boolean column (true = block, null = unlabelled) that the templates learn from in place of the
+    rules' verdicts; a rule that fits still decides its rows.
+    """
     host, path = host_and_path(F.col(f"`{url}`"))
-    parts = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
+    own = F.lit(None).cast("boolean") if label is None else F.col(f"`{label}`")
+    parts = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), own.alias("own"))
+    if depth is None:
+        depth = parts.agg(F.max(F.size(F.array_remove(F.split("path", "/"), "")))).first()[0] or 0
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
+    blocks = F.col("ruled") == "block" if label is None else F.col("own")
     judged = parts.withColumn("rule", rule).withColumn("ruled", ruled).withColumn("leaf", leaf_template(F.col("path"), depth))
-    counts = judged.groupBy("host", "leaf").agg(F.count_if(F.col("ruled") == "block").alias("blocked"), F.count("ruled").alias("labelled"))
+    counts = judged.groupBy("host", "leaf").agg(F.count_if(blocks).alias("blocked"), F.count(blocks).alias("labelled"))
     tree = merged_templates(written(counts, "url-counts"), depth, z)
     sums = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"))
     score = (F.col("b") + prior * strength) / (F.col("n") + strength)

@@ -240,6 +240,15 @@ def test_urls_without_labels_are_not_judged_by_labelled_siblings(spark):
     assert plain == {i: "/*/*" if s in ("es", "fr") else f"/{s}/*" for i, s in enumerate(firsts) if s != "7"}
 
 
+def test_urls_below_the_third_segment_by_a_label_column(spark):
+    rows = [(i, f"http://blog.org/a/b/c/{('spam', 'good')[i % 2]}/{i}", i % 2 == 0 if i < 20 else None) for i in range(24)]
+    d = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {r.page_id: (r.rule, r.template, r.verdict) for r in url_filter.url_verdicts(d, label="bad").collect()}
+    assert got == {i: (None, f"/*/*/*/{('spam', 'good')[i % 2]}/*", ("block", "allow")[i % 2]) for i in range(24)}
+    assert {r.template for r in url_filter.url_verdicts(d, label="bad", depth=3).collect()} == {"/*/*/*/**"}
+    assert url_filter.url_verdicts(d.limit(0)).collect() == []
+
+
 def test_quality(spark, docs):
     got = quality.line_first_clean(docs).select("doc_id", "text", "quality.*", "`a.b`").collect()
     assert len(got) == len(ROWS)
