@@ -1,18 +1,19 @@
-"""Deleted interpolation: a bigram model mixed from maximum-likelihood estimates, weights by context-frequency bucket.
-
-p(w | h) = a(b) c(h w) / c(h) + u(b) c(w) / N + z(b) / (V + 1), where b is the bucket (the binary order of magnitude) of c(h).
-The weights maximise the likelihood of held-out counts by expectation-maximisation: of the training documents those of
-fold 0 are deleted, the other folds are counted, and the deleted ones' tokens are the held-out data; scores then use the
-counts of all training documents. Counts, held-out statistics and scores cover all documents; nothing is cut off.
-
-Documents are packed into blocks. A block sends each range of hash values the sorted keys of its n-grams with their
-counts; the range adds them up and sends back, in the same order, the totals over the corpus. So a frequent n-gram
-costs one entry for each block, and what is shuffled grows with the corpus. The number of ranges follows the number
-of keys. N-grams are told apart by 63-bit hashes.
-
-Defined cases: null and empty texts have one token, the end; a null id counts as an empty one for its fold; without
-training documents every estimate but the uniform one is 0 and the scores stay finite; repeated rows count twice
-and get equal scores.
+"""Deleted interpolation: maximum-likelihood estimates of each n-gram order mixed by weights of context-frequency buckets.
+
+p(w | h) = sum over orders k of a_k(b) c(h_k w) / c(h_k) + z(b) / (V + 1), where h_k are the last k - 1 tokens and b tells the
+longest of these contexts that was seen and the binary order of magnitude of its count. The weights maximise the
+likelihood of held-out counts by expectation-maximisation: of the training documents those of fold 0 are deleted, the
+other folds are counted, and the deleted ones' tokens are the held-out data; scores then use the counts of all
+training documents. Counts, held-out statistics and scores cover all documents; nothing is cut off.
+
+Documents are packed into blocks, so that a second pass meets the same texts. A block sends one row for each of its
+distinct n-grams; rows are dealt by n-gram, summed over it and dealt back by block. So a frequent n-gram costs one
+row for each block that has it, all that is moved grows in proportion to the corpus, and no task holds more than one block
+and its own n-grams. N-grams are told apart by 64-bit hashes.
+
+Defined cases: null and empty texts have one token, the end; a very long text is a block of its own, read whole; a null
+id counts as an empty one for its fold; without training documents every estimate but the uniform one is 0 and the scores
+stay finite; repeated rows count twice and get equal scores; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,22 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm._blocks import text_blocks, unpack_table
 from siftwell.llm._store import LARGE_ROWS, discard, written
-from siftwell.llm._text import U64, Words, column, mix
+from siftwell.llm._text import U64, Words, column, mix, slices
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 END, BEGIN = U64(0x0E0D), U64(0xBE61)
-BUCKETS = 40
-BLOCK_BYTES = 12 << 20
-KEYS_A_RANGE = 1 << 21
+MAGNITUDES = 40
+BLOCK_BYTES = 6 << 20
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned numbers by planes of bytes, compressed: small numbers and small gaps cost little."""
+    """Unsigned numbers by planes of bytes, compressed: small numbers cost little."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
@@ -47,207 +47,208 @@ def unsqueeze(raw: bytes, n: int) -> np.ndarray:
 
 
 class BlockTokens:
-    """Tokens of a block: the key of each token (lowest bit 0) and of each pair with its context (1), and distinct keys."""
+    """Tokens of a block: for each order the distinct keys of its n-grams, sorted, and the place there of each token's."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, order: int):
         table = unpack_table(raw)
         self.ids, self.fold = table.column("doc_id"), table.column("fold").to_numpy()
         data, offsets = column(table.column("text"))
-        words = Words(data, offsets)
-        del data
-        tokens = np.insert(words.hashes, words.bounds[1:], END)
-        self.bounds = words.bounds + np.arange(len(words.bounds))
-        context = np.empty_like(tokens)
-        context[1:] = tokens[:-1]
-        context[self.bounds[:-1]] = BEGIN
-        self.begins = np.zeros(len(tokens), dtype=bool)
-        self.begins[self.bounds[:-1]] = True
-        one = mix(tokens) & ~U64(1)
-        two = mix(context * U64(0xFF51AFD7ED558CCD) + tokens) | U64(1)
+        hashes, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for i, j in slices(offsets, 1 << 20):  # the arrays of a slice are many times its bytes
+            words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            hashes.append(np.insert(words.hashes, words.bounds[1:], END))
+            sizes.append(np.diff(words.bounds) + 1)
+        del data, offsets, table
+        tokens = np.concatenate(hashes)
+        del hashes
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         self.n = len(tokens)
-        self.keys, back = np.unique(np.concatenate([one, two]), return_inverse=True)
-        self.one, self.two = back[: self.n].astype(np.int32), back[self.n :].astype(np.int32)
-        self.end = int(np.searchsorted(self.keys, mix(np.array([END])) & ~U64(1))[0])
-
-    def counts(self, which: np.ndarray) -> np.ndarray:
-        """How often each key stands in documents of the given folds."""
-        take = np.repeat(np.isin(self.fold, which), np.diff(self.bounds))
-        return np.bincount(self.one[take], minlength=len(self.keys)) + np.bincount(self.two[take], minlength=len(self.keys))
-
-
-def ranges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each range of the top bits begins among sorted keys."""
-    return np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-
-
-def local_counts(blocks: DataFrame, bits: int) -> DataFrame:
-    """(range, block, n, keys, kept, deleted): what each block sends to each range."""
+        self.keys: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        gram, earlier = tokens.copy(), tokens
+        for k in range(1, order + 1):
+            if k > 1:  # the token k - 1 before this one; a text is preceded by begins
+                shifted = np.empty_like(earlier)
+                shifted[1:] = earlier[:-1]
+                shifted[self.bounds[:-1]] = BEGIN
+                earlier = shifted
+                gram = mix(gram) * U64(0xFF51AFD7ED558CCD) + earlier
+            keys, back = np.unique(mix(gram + U64(k)), return_inverse=True)
+            self.keys.append(keys)
+            self.places.append(back.astype(np.int32))
+        self.end = int(np.searchsorted(self.keys[0], mix(np.array([END]) + U64(1)))[0])
+
+    def counts(self, folds) -> np.ndarray:
+        """How often each key, order by order, stands in documents of the given folds."""
+        take = np.repeat(np.isin(self.fold, folds), np.diff(self.bounds))
+        return np.concatenate([np.bincount(place[take], minlength=len(keys)) for place, keys in zip(self.places, self.keys, strict=True)])
+
+    def estimates(self, counts: np.ndarray) -> np.ndarray:
+        """For each token, from the highest order down, the counts of its n-gram and of that one's context; last its own count."""
+        out, at = [], 0
+        each = []
+        for place, keys in zip(self.places, self.keys, strict=True):
+            each.append(counts[at : at + len(keys)][place])
+            at += len(keys)
+        ends = counts[self.end]
+        for k in range(len(each) - 1, 0, -1):
+            before = np.empty_like(each[k - 1])
+            before[1:] = each[k - 1][:-1]
+            before[self.bounds[:-1]] = ends  # the begin of a text is a context as often as there are ends
+            out += [each[k], before]
+        return np.stack([*out, each[0]])
+
+
+def sent_counts(blocks: DataFrame, order: int) -> DataFrame:
+    """(block, key, kept, deleted): how often the distinct n-grams of each block stand in its training documents."""
     kept = [f for f in range(FOLDS) if f not in (HELD_OUT, DELETED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                t = BlockTokens(batch.column(1)[r].as_py())
-                k, d, cuts = t.counts(kept), t.counts([DELETED]), ranges(t.keys, bits)
-                rows = []
-                for i in range(1 << bits):
-                    a, b = int(cuts[i]), int(cuts[i + 1])
-                    if b > a:
-                        gaps = np.diff(t.keys[a:b], prepend=U64(0))
-                        rows.append((i, b - a, squeeze(gaps), squeeze(k[a:b]), squeeze(d[a:b])))
-                ints = [pa.array([x[c] for x in rows], kind) for c, kind in ((0, pa.int32()), (1, pa.int64()))]
-                raws = [pa.array([x[c] for x in rows], pa.binary()) for c in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([ints[0], pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), ints[1], *raws], ["range", "block", "n", "keys", "kept", "deleted"])
-
-    return blocks.mapInArrow(run, "range int, block long, n long, keys binary, kept binary, deleted binary")
-
-
-def add_up(table: pa.Table) -> pa.Table:
-    """One range: totals for each block in the order of its keys, and a row (block -1) with the range's own N and V."""
-    n = table.column("n").to_numpy()
-    each = {c: table.column(c).to_pylist() for c in ("keys", "kept", "deleted")}
-    keys = np.concatenate([np.cumsum(unsqueeze(x, m), dtype=np.uint64) for x, m in zip(each["keys"], n, strict=True)])
-    distinct, back = np.unique(keys, return_inverse=True)
-    totals = []
-    for c in ("kept", "deleted"):
-        own = np.concatenate([unsqueeze(x, m) for x, m in zip(each[c], n, strict=True)]).astype(np.float64)
-        totals.append(np.bincount(back, weights=own, minlength=len(distinct)).astype(np.uint64))  # exact below 2**53
-    cuts = np.concatenate([[0], np.cumsum(n)])
-    sent = [[squeeze(t[back[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for t in totals]
-    unigram = (distinct & U64(1)) == 0
-    train = (totals[0] + totals[1])[unigram]
-    blocks = [*table.column("block").to_pylist(), -1]
-    return pa.table({
-        "block": pa.array(blocks, pa.int64()), "range": pa.array([table.column("range")[0].as_py()] * len(blocks), pa.int32()), "n": pa.array([*n.tolist(), 0], pa.int64()),
-        "kept": pa.array([*sent[0], None], pa.binary()), "deleted": pa.array([*sent[1], None], pa.binary()),
-        "tokens": pa.array([0] * len(n) + [int(train.sum())], pa.int64()), "types": pa.array([0] * len(n) + [int((train > 0).sum())], pa.int64()),
-        "kept_tokens": pa.array([0] * len(n) + [int(totals[0][unigram].sum())], pa.int64()),
-    })
-
-
-def bucket_of(c):
-    """0 for contexts never seen, else the binary order of magnitude from 1."""
-    return np.minimum(BUCKETS - 1, np.frexp(np.asarray(c, dtype=np.float64))[1])
-
-
-def token_counts(blocks: DataFrame, totals: DataFrame, id_type: str, n_train: int, n_types: int) -> DataFrame:
-    """For each document its base columns and the counts of its tokens; for each block (doc row null) held-out statistics."""
+                t = BlockTokens(batch.column(1)[r].as_py(), order)
+                k, d = t.counts(kept), t.counts([DELETED])
+                keys = np.concatenate(t.keys).view(np.int64)
+                block = batch.column(0)[r].as_py()
+                del t
+                for a in range(0, len(keys), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys[part]), block)), "key": pa.array(keys[part]), "kept": pa.array(k[part]), "deleted": pa.array(d[part])})
+
+    return blocks.mapInArrow(run, "block long, key long, kept long, deleted long")
+
+
+def token_counts(blocks: DataFrame, totals: DataFrame, id_type: str, order: int) -> DataFrame:
+    """The counts of each document's tokens; for each block (is_stats) its held-out statistics and the sizes of the n-grams that it counts for all.
+
+    totals: block, key, kept, deleted (over the corpus) and `own`, true in one of the blocks that have the key."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = BlockTokens(left.column("docs")[0].as_py())
-        order = np.argsort(right.column("range").to_numpy())
-        n, sums = right.column("n").to_numpy(), []
+        t = BlockTokens(left.column("docs")[0].as_py(), order)
+        mine, back = np.argsort(np.concatenate(t.keys)), np.argsort(right.column("key").to_numpy().view(np.uint64))
+        sums = []
         for c in ("kept", "deleted"):
-            raw = right.column(c).to_pylist()
-            sums.append(np.concatenate([unsqueeze(raw[i], n[i]) for i in order]).astype(np.int64))
+            total = np.empty(len(mine), dtype=np.int64)
+            total[mine] = right.column(c).to_numpy()[back]
+            sums.append(total)
+        own = np.empty(len(mine), dtype=bool)
+        own[mine] = right.column("own").to_numpy(zero_copy_only=False)[back]
         kept, train = sums[0], sums[0] + sums[1]
+        one = slice(0, len(t.keys[0]))
+        whole = [int(train[one][own[one]].sum()), int((train[one][own[one]] > 0).sum()), int(kept[one][own[one]].sum())]
 
-        def triples(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            one = counts[t.one]
-            before = np.empty_like(one)
-            before[1:] = one[:-1]
-            before[t.begins] = counts[t.end]  # the begin of a text is a context as often as there are ends
-            return counts[t.two], before, one
-
-        c2, c1, c0 = triples(train)
-        logs = np.log10((c0 + 0.5) / (n_train + 0.5 * (n_types + 1)))
         held = np.flatnonzero(np.repeat(t.fold == DELETED, np.diff(t.bounds)))
-        h = np.stack([x[held] for x in triples(kept)], axis=1)
+        h = t.estimates(kept)[:, held].T
         stats, times = np.unique(h, axis=0, return_counts=True) if len(h) else (h, np.zeros(0, dtype=np.int64))
+        del h, held
+        found = t.estimates(train)
         spans = list(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True))
         rows = len(spans)
         return pa.table({
             "doc_id": pa.chunked_array([*t.ids.chunks, pa.nulls(1, t.ids.type)]),
             "held_out": pa.array([*(t.fold == HELD_OUT).tolist(), None], pa.bool_()),
             "n_tokens": pa.array([*[b - a for a, b in spans], len(stats)], pa.int64()),
-            "n_known": pa.array([*[int((c0[a:b] > 0).sum()) for a, b in spans], None], pa.int64()),
-            "base_score": pa.array([*[float(logs[a:b].sum()) for a, b in spans], None], pa.float64()),
             "is_stats": pa.array([False] * rows + [True]),
-            "counts": pa.array([*[squeeze(np.concatenate([c2[a:b], c1[a:b], c0[a:b]])) for a, b in spans], squeeze(np.concatenate([*stats.T, times]).astype(np.uint64))], pa.binary()),
+            "counts": pa.array([*[squeeze(found[:, a:b].ravel()) for a, b in spans], squeeze(np.concatenate([*stats.T, times]).astype(np.uint64))], pa.binary()),
+            "tokens": pa.array([None] * rows + whole[:1], pa.int64()), "types": pa.array([None] * rows + whole[1:2], pa.int64()), "kept_tokens": pa.array([None] * rows + whole[2:], pa.int64()),
         })
 
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, is_stats boolean, counts binary"
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, is_stats boolean, counts binary, tokens long, types long, kept_tokens long"
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)
 
 
-def learn_weights(stats: DataFrame, n: int, v: int, rounds: int = 30, tolerance: float = 1e-5) -> np.ndarray:
-    """Mixture weights (bigram, unigram, uniform) of each bucket by expectation-maximisation over all held-out counts.
+def bucket_of(found: np.ndarray) -> np.ndarray:
+    """0 without a context that was seen; else the order of the longest one and the binary magnitude of its count, as a number."""
+    bucket = np.zeros(found.shape[1], dtype=np.int64)
+    for k, context in enumerate(found[-2:0:-2], 2):  # longer contexts later, so the longest that was seen stands
+        bucket = np.where(context > 0, 1 + (k - 2) * MAGNITUDES + np.minimum(MAGNITUDES, np.frexp(context)[1]) - 1, bucket)
+    return bucket
+
+
+def mixture_parts(found: np.ndarray, n: int, v: int) -> np.ndarray:
+    """A row for each token: the estimates of all orders, highest first, and the uniform one."""
+    high = [np.divide(c, h, out=np.zeros_like(c), where=h > 0) for c, h in zip(found[:-1:2], found[1::2], strict=True)]
+    return np.stack([*high, found[-1] / max(n, 1), np.full_like(found[-1], 1 / (v + 1))], axis=1)
+
 
-    Each round is a map over the written statistics; a task returns three sums for each bucket."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    weights[0] = 0, 0.5, 0.5
-    spark = stats.sparkSession
+def learn_weights(stats: DataFrame, order: int, n: int, v: int, rounds: int = 30, tolerance: float = 1e-5) -> np.ndarray:
+    """Mixture weights (orders from the highest, uniform) of each bucket by expectation-maximisation over all held-out counts.
+
+    Each round is a map over the written statistics; a task returns one sum for each bucket and weight."""
+    size = 1 + (order - 1) * MAGNITUDES
+    seen = np.concatenate([[1], np.repeat(np.arange(2, order + 1), MAGNITUDES)])  # the highest order a bucket has estimates of
+    allowed = np.concatenate([np.arange(order, 0, -1)[None, :] <= seen[:, None], np.ones((size, 1), dtype=bool)], axis=1).astype(float)
+    weights = allowed / allowed.sum(axis=1, keepdims=True)
     before = None
     for _ in range(rounds):
         sent = weights.copy()
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums, likelihood, tokens = np.zeros((BUCKETS, 3)), 0.0, 0
+            sums, likelihood, tokens = np.zeros_like(sent), 0.0, 0
             for batch in batches:
                 for m, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    c2, c1, c0, times = unsqueeze(raw, 4 * m).astype(np.float64).reshape(4, m)
-                    b = bucket_of(c1)
-                    parts = sent[b] * mixture_parts(c2, c1, c0, n, v)
+                    *found, times = unsqueeze(raw, 2 * order * m).astype(np.float64).reshape(2 * order, m)
+                    found = np.stack(found)
+                    b = bucket_of(found)
+                    parts = sent[b] * mixture_parts(found, n, v)
                     p = parts.sum(axis=1)
                     parts *= (times / p)[:, None]
-                    for c in range(3):
-                        sums[:, c] += np.bincount(b, weights=parts[:, c], minlength=BUCKETS)
+                    for c in range(order + 1):
+                        sums[:, c] += np.bincount(b, weights=parts[:, c], minlength=size)
                     likelihood += float((times * np.log(p)).sum())
                     tokens += int(times.sum())
-            yield pa.RecordBatch.from_pydict({"b": pa.array([*range(BUCKETS), -1], pa.int32()), **{f"s{c}": pa.array([*sums[:, c].tolist(), (likelihood, float(tokens), 0.0)[c]]) for c in range(3)}})
+            yield pa.RecordBatch.from_pydict({"b": pa.array([*range(size), -1], pa.int32()), **{f"s{c}": pa.array([*sums[:, c].tolist(), (likelihood, float(tokens), *[0.0] * order)[c]]) for c in range(order + 1)}})
 
-        got = stats.mapInArrow(expect, "b int, s0 double, s1 double, s2 double").groupBy("b").agg(*[F.sum(f"s{c}") for c in range(3)]).collect()  # BUCKETS + 1 rows
+        schema = "b int, " + ", ".join(f"s{c} double" for c in range(order + 1))
+        got = stats.mapInArrow(expect, schema).groupBy("b").agg(*[F.sum(f"s{c}") for c in range(order + 1)]).collect()  # size + 1 rows
         by = {r[0]: np.array(r[1:]) for r in got}
-        likelihood, tokens = by.pop(-1, np.zeros(3))[:2]
+        likelihood, tokens = by.pop(-1, np.zeros(order + 1))[:2]
         for b, s in by.items():
             if s.sum() > 0:
-                weights[b] = (s + 1e-3 * np.array([b > 0, 1, 1])) / (s.sum() + 1e-3 * (2 + (b > 0)))
+                weights[b] = (s + 1e-3 * allowed[b]) / (s.sum() + 1e-3 * allowed[b].sum())
         if not tokens or before is not None and (likelihood - before) / tokens < tolerance:
             break
         before = likelihood
     return weights
 
 
-def mixture_parts(c2, c1, c0, n: int, v: int) -> np.ndarray:
-    two = np.divide(c2, c1, out=np.zeros_like(c2), where=c1 > 0)
-    return np.stack([two, c0 / max(n, 1), np.full_like(c0, 1 / (v + 1))], axis=1)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, rounds: int = 30) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, rounds: int = 30) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
+    if order < 1:
+        raise ValueError("the order is 1 at least")
     ident = F.col(f"`{id_col}`")
     fold = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     rows = docs.select(ident.alias("doc_id"), fold.alias("fold"), F.col(f"`{text}`").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     blocks = text_blocks(rows, block_bytes)
-    n_blocks = blocks.select("block").count()
-    # a block has a third of a key for each byte at most; ranges hold about KEYS_A_RANGE keys
-    bits = max(4, int(n_blocks * block_bytes / 6 / KEYS_A_RANGE).bit_length())
-    sent = local_counts(blocks, bits)
-    shape = "block long, range int, n long, kept binary, deleted binary, tokens long, types long, kept_tokens long"
-    totals = written(sent.groupBy("range").applyInArrow(add_up, shape), "totals", LARGE_ROWS)
-    whole = totals.filter(F.col("block") == -1).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens")]).first()
-    n_train, n_types, n_kept = (int(x) for x in whole)
-    tokens = written(token_counts(blocks, totals.filter(F.col("block") >= 0).select("block", "range", "n", "kept", "deleted"), id_type, n_train, n_types), "token-counts")
+    each = Window.partitionBy("key")  # a row for each block at most
+    totals = sent_counts(blocks, order).select(
+        "block", "key", F.sum("kept").over(each).alias("kept"), F.sum("deleted").over(each).alias("deleted"),
+        (F.min("block").over(each) == F.col("block")).alias("own"),
+    )
+    tokens = written(token_counts(blocks, totals, id_type, order), "token-counts", LARGE_ROWS)
     discard(blocks)
-    discard(totals)
+    whole = tokens.filter("is_stats").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens")]).first()
+    n_train, n_types, n_kept = (int(x) for x in whole)
     stats = written(tokens.filter("is_stats").select("n_tokens", "counts"), "held-out-counts", LARGE_ROWS)
-    weights = learn_weights(stats, n_kept, n_types, rounds)
+    weights = learn_weights(stats, order, n_kept, n_types, rounds)
     discard(stats)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_tokens = batch.column(2).to_pylist()
-            scores = []
-            for m, raw in zip(n_tokens, batch.column(5).to_pylist(), strict=True):
-                c2, c1, c0 = unsqueeze(raw, 3 * m).astype(np.float64).reshape(3, m)
-                p = (weights[bucket_of(c1)] * mixture_parts(c2, c1, c0, n_train, n_types)).sum(axis=1)
+            known, base, scores = [], [], []
+            for m, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = unsqueeze(raw, (2 * order - 1) * m).astype(np.float64).reshape(2 * order - 1, m)
+                p = (weights[bucket_of(found)] * mixture_parts(found, n_train, n_types)).sum(axis=1)
+                known.append(int((found[-1] > 0).sum()))
+                base.append(float(np.log10((found[-1] + 0.5) / (n_train + 0.5 * (n_types + 1))).sum()))
                 scores.append(float(np.log10(p).sum()))
-            columns = {c: batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")}
-            yield pa.RecordBatch.from_pydict({**columns, "train_tokens": pa.array([n_train] * len(scores), pa.int64()), "base_score": batch.column(4), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "held_out": batch.column(1), "n_tokens": batch.column(2), "n_known": pa.array(known, pa.int64()),
+                "train_tokens": pa.array([n_train] * len(scores), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
+            })
 
-    kept = tokens.filter(~F.col("is_stats")).select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "counts")
+    kept = tokens.filter(~F.col("is_stats")).select("doc_id", "held_out", "n_tokens", "counts")
     return kept.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -134,6 +134,51 @@ def test_scores(spark, docs):
     assert ngram_lm.score_documents(none(spark)).collect() == []
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_by_brute_force(spark, order):
+    rows = [(i, t) for i, t, *_ in ROWS] + [(50 + i, prose(40)) for i in range(30)]
+    folds = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i, _ in rows]
+    texts = [["<s>"] * (order - 1) + [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for _, t in rows]
+    grams = lambda t: [[tuple(t[i - k : i]) for k in range(order, 0, -1)] for i in range(order, len(t) + 1)]
+
+    def model(use):
+        c, h = Counter(), Counter()
+        for t, f in zip(texts, folds, strict=True):
+            for each in grams(t) if f in use else []:
+                c.update(each)
+                h.update(g[:-1] for g in each)
+        return c, h, h[()]
+
+    def look(counted, each, v):
+        c, h, n = counted
+        longest = next((g[:-1] for g in each[:-1] if h[g[:-1]]), ())
+        bucket = (len(longest), h[longest].bit_length() if longest else 0)
+        return bucket, [c[g] / h[g[:-1]] if h[g[:-1]] else 0.0 for g in each[:-1]] + [c[each[-1]] / max(n, 1), 1 / (v + 1)]
+
+    full = model({0, 2, 3, 4})
+    v = sum(len(g) == 1 for g in full[0])
+    part = model({2, 3, 4})
+    held = [look(part, each, v) for t, f in zip(texts, folds, strict=True) if f == 0 for each in grams(t)]
+    seen = lambda b: [float(order - k <= b[0] + 1) for k in range(order)] + [1.0]
+    weights = {}
+    weight = lambda b: weights.get(b) or [x / sum(seen(b)) for x in seen(b)]
+    for _ in range(5):
+        sums = {}
+        for b, parts in held:
+            each = [x * y for x, y in zip(weight(b), parts, strict=True)]
+            into = sums.setdefault(b, [0.0] * (order + 1))
+            for k, x in enumerate(each):
+                into[k] += x / sum(each)
+        weights |= {b: [(x + 1e-3 * s) / (sum(into) + 1e-3 * sum(seen(b))) for x, s in zip(into, seen(b), strict=True)] for b, into in sums.items()}
+    want = Counter()
+    for (i, _), t in zip(rows, texts, strict=True):
+        found = [look(full, each, v) for each in grams(t)]
+        want[i, round(sum(math.log10(sum(x * y for x, y in zip(weight(b), parts, strict=True))) for b, parts in found), 6)] += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_lm.score_documents(d, order=order, block_bytes=3000, rounds=5).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_decontamination(spark, docs):
     loud = ITEM.translate({ord("a"): "A", ord("."): "!", ord("r"): "R"})
     bench = spark.createDataFrame([(1, loud), (2, None), (3, ""), (4, "one"), (1, loud)], "item_id long, text string")
