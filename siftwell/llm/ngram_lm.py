@@ -6,10 +6,12 @@ likelihood of held-out counts by expectation-maximisation: of the training docum
 other folds are counted, and the deleted ones' tokens are the held-out data; scores then use the counts of all
 training documents. Counts, held-out statistics and scores cover all documents; nothing is cut off.
 
-Documents are packed into blocks, so that a second pass meets the same texts. A block sends one row for each of its
-distinct n-grams; rows are dealt by n-gram, summed over it and dealt back by block. So a frequent n-gram costs one
-row for each block that has it, all that is moved grows in proportion to the corpus, and no task holds more than one block
-and its own n-grams. N-grams are told apart by 64-bit hashes.
+Documents are packed into blocks. A block sends the sorted keys of its n-grams with their counts in 256 ranges of the
+keys; a node of the tree above adds up one range of its blocks (2048 at most) and sends that on to the node above it, cut
+into 2048 ranges more. The root holds a range's totals over the corpus; they go back the same way, at each node
+in the order of each child's keys. So the size of a message and of a task's work do not grow with the corpus, and
+what is moved grows in proportion to it, times the levels of the tree (one up to 2048 blocks, three up to 8 billion).
+A frequent n-gram costs one entry for each block. N-grams are told apart by 63-bit hashes.
 
 Defined cases: null and empty texts have one token, the end; a very long text is a block of its own, read whole; a null
 id counts as an empty one for its fold; without training documents every estimate but the uniform one is 0 and the scores
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._blocks import text_blocks, unpack_table
@@ -32,7 +34,11 @@ from siftwell.llm._text import U64, Words, column, mix, slices
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 END, BEGIN = U64(0x0E0D), U64(0xBE61)
 MAGNITUDES = 40
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 1 << 20
+#: Bits of the ranges of a block, and of the children and ranges of a node.
+FIRST, FAN = 8, 11
+MESSAGE = "child long, parent long, range long, n long, keys binary, kept binary, deleted binary"
+ANSWER = "child long, range long, n long, kept binary, deleted binary, tokens long, types long, kept_tokens long"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -73,10 +79,10 @@ class BlockTokens:
                 shifted[self.bounds[:-1]] = BEGIN
                 earlier = shifted
                 gram = mix(gram) * U64(0xFF51AFD7ED558CCD) + earlier
-            keys, back = np.unique(mix(gram + U64(k)), return_inverse=True)
+            keys, back = np.unique(mix(gram + U64(k)) & ~U64(1) | U64(k > 1), return_inverse=True)
             self.keys.append(keys)
             self.places.append(back.astype(np.int32))
-        self.end = int(np.searchsorted(self.keys[0], mix(np.array([END]) + U64(1)))[0])
+        self.end = int(np.searchsorted(self.keys[0], mix(np.array([END]) + U64(1)) & ~U64(1))[0])
 
     def counts(self, folds) -> np.ndarray:
         """How often each key, order by order, stands in documents of the given folds."""
@@ -99,44 +105,114 @@ class BlockTokens:
         return np.stack([*out, each[0]])
 
 
-def sent_counts(blocks: DataFrame, order: int) -> DataFrame:
-    """(block, key, kept, deleted): how often the distinct n-grams of each block stand in its training documents."""
+def messages(child: int, parent: int, above: int, bits: int, cut: int, keys: np.ndarray, kept: np.ndarray, deleted: np.ndarray) -> pa.RecordBatch:
+    """The sorted keys of a node (those below `above`, the range of the highest `bits` bits) with their counts, in 2**cut ranges."""
+    top = (keys >> U64(64 - bits - cut)).astype(np.int64)
+    first = above << cut
+    cuts = np.searchsorted(top, np.arange(first, first + (1 << cut) + 1))
+    rows = []
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if b > a:
+            rows.append((child, parent, first + i, b - a, squeeze(np.diff(keys[a:b], prepend=U64(0))), squeeze(kept[a:b]), squeeze(deleted[a:b])))
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], kind) for c, kind in enumerate(kinds)], ["child", "parent", "range", "n", "keys", "kept", "deleted"])
+
+
+def sent_counts(blocks: DataFrame, order: int, fan: int, bits: int) -> DataFrame:
+    """The messages of all blocks; a block's node is told by the highest bits of the hash of its number."""
     kept = [f for f in range(FOLDS) if f not in (HELD_OUT, DELETED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                t = BlockTokens(batch.column(1)[r].as_py(), order)
-                k, d = t.counts(kept), t.counts([DELETED])
-                keys = np.concatenate(t.keys).view(np.int64)
                 block = batch.column(0)[r].as_py()
+                t = BlockTokens(batch.column(1)[r].as_py(), order)
+                k, d, keys = t.counts(kept), t.counts([DELETED]), np.concatenate(t.keys)
                 del t
-                for a in range(0, len(keys), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys[part]), block)), "key": pa.array(keys[part]), "kept": pa.array(k[part]), "deleted": pa.array(d[part])})
-
-    return blocks.mapInArrow(run, "block long, key long, kept long, deleted long")
+                mine = np.argsort(keys)
+                parent = int(mix(np.array([block], dtype=np.uint64))[0]) >> (64 - bits) >> fan
+                yield messages(block, parent, 0, 0, FIRST, keys[mine], k[mine], d[mine])
+
+    return blocks.mapInArrow(run, MESSAGE)
+
+
+def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the messages of one range: distinct keys, the place there of each key sent, totals of both counts, bounds of the messages."""
+    n = table.column("n").to_numpy()
+    read = lambda c: [unsqueeze(x, m) for x, m in zip(table.column(c).to_pylist(), n, strict=True)]
+    distinct, back = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in read("keys")]), return_inverse=True)
+    totals = []
+    for c in ("kept", "deleted"):
+        total = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(total, back, np.concatenate(read(c)).astype(np.int64))
+        totals.append(total)
+    return distinct, back, totals, np.concatenate([[0], np.cumsum(n)])
+
+
+def answers(table: pa.Table, back: np.ndarray, totals: list[np.ndarray], cuts: np.ndarray, whole: tuple[int, int, int]) -> pa.Table:
+    """The totals for each message in the order of its keys, and a row (child -1) with a range's own N, V and N without deleted ones."""
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    columns = [[*table.column("child").to_pylist(), -1], [*table.column("range").to_pylist(), -1], [*[b - a for a, b in spans], 0]]
+    columns += [[*[squeeze(t[back[a:b]]) for a, b in spans], None] for t in totals] + [[0] * len(spans) + [x] for x in whole]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 3
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["child", "range", "n", "kept", "deleted", "tokens", "types", "kept_tokens"])
+
+
+def corpus_counts(sent: DataFrame, fan: int, bits: int) -> DataFrame:
+    """The answers to the messages of the blocks: up the tree to the root and back. bits: of block numbers' hashes."""
+    levels, depth = [sent], 1
+
+    def upward(at: int):
+        def up(table: pa.Table) -> pa.Table:
+            distinct, _, totals, _ = summed(table)
+            node, above = table.column("parent")[0].as_py(), table.column("range")[0].as_py()
+            return pa.Table.from_batches([messages(node, node >> fan, above, at, fan, distinct, *totals)])
+
+        return up
+
+    while bits > depth * fan:  # not yet the root
+        levels[-1] = written(levels[-1], "messages", LARGE_ROWS)  # read once more on the way back
+        levels.append(levels[-1].groupBy("parent", "range").applyInArrow(upward(FIRST + (depth - 1) * fan), MESSAGE))
+        depth += 1
+
+    def root(table: pa.Table) -> pa.Table:
+        distinct, back, totals, cuts = summed(table)
+        one = (distinct & U64(1)) == 0
+        train = (totals[0] + totals[1])[one]
+        return answers(table, back, totals, cuts, (int(train.sum()), int((train > 0).sum()), int(totals[0][one].sum())))
+
+    def down(table: pa.Table, above: pa.Table) -> pa.Table:
+        _, back, _, cuts = summed(table)
+        order = np.argsort(above.column("range").to_numpy())
+        n, totals = above.column("n").to_numpy(), []
+        for c in ("kept", "deleted"):
+            raw = above.column(c).to_pylist()
+            totals.append(np.concatenate([unsqueeze(raw[i], n[i]) for i in order]).astype(np.int64))
+        return answers(table, back, totals, cuts, (0, 0, 0))
+
+    found = written(levels.pop().groupBy("parent", "range").applyInArrow(root, ANSWER), "totals", LARGE_ROWS)
+    while levels:
+        below, before = levels.pop(), found
+        above = before.filter("child >= 0").select(F.col("child").alias("parent"), F.shiftright("range", fan).alias("up"), "range", "n", "kept", "deleted")
+        told = below.groupBy("parent", "range").cogroup(above.groupBy("parent", "up")).applyInArrow(down, ANSWER)
+        whole = before.filter("child < 0").groupBy("child", "range").agg(F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("binary").alias(c) for c in ("kept", "deleted")], *[F.sum(c).alias(c) for c in ("tokens", "types", "kept_tokens")])
+        found = written(told.unionByName(whole), "totals", LARGE_ROWS)
+        discard(below)
+        discard(before)
+    return found
 
 
 def token_counts(blocks: DataFrame, totals: DataFrame, id_type: str, order: int) -> DataFrame:
-    """The counts of each document's tokens; for each block (is_stats) its held-out statistics and the sizes of the n-grams that it counts for all.
-
-    totals: block, key, kept, deleted (over the corpus) and `own`, true in one of the blocks that have the key."""
+    """The counts of each document's tokens; for each block (is_stats) its held-out statistics."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t = BlockTokens(left.column("docs")[0].as_py(), order)
-        mine, back = np.argsort(np.concatenate(t.keys)), np.argsort(right.column("key").to_numpy().view(np.uint64))
-        sums = []
+        mine, order_of, n, sums = np.argsort(np.concatenate(t.keys)), np.argsort(right.column("range").to_numpy()), right.column("n").to_numpy(), []
         for c in ("kept", "deleted"):
-            total = np.empty(len(mine), dtype=np.int64)
-            total[mine] = right.column(c).to_numpy()[back]
+            raw, total = right.column(c).to_pylist(), np.empty(len(mine), dtype=np.int64)
+            total[mine] = np.concatenate([unsqueeze(raw[i], n[i]) for i in order_of])
             sums.append(total)
-        own = np.empty(len(mine), dtype=bool)
-        own[mine] = right.column("own").to_numpy(zero_copy_only=False)[back]
         kept, train = sums[0], sums[0] + sums[1]
-        one = slice(0, len(t.keys[0]))
-        whole = [int(train[one][own[one]].sum()), int((train[one][own[one]] > 0).sum()), int(kept[one][own[one]].sum())]
-
         held = np.flatnonzero(np.repeat(t.fold == DELETED, np.diff(t.bounds)))
         h = t.estimates(kept)[:, held].T
         stats, times = np.unique(h, axis=0, return_counts=True) if len(h) else (h, np.zeros(0, dtype=np.int64))
@@ -150,11 +226,10 @@ def token_counts(blocks: DataFrame, totals: DataFrame, id_type: str, order: int)
             "n_tokens": pa.array([*[b - a for a, b in spans], len(stats)], pa.int64()),
             "is_stats": pa.array([False] * rows + [True]),
             "counts": pa.array([*[squeeze(found[:, a:b].ravel()) for a, b in spans], squeeze(np.concatenate([*stats.T, times]).astype(np.uint64))], pa.binary()),
-            "tokens": pa.array([None] * rows + whole[:1], pa.int64()), "types": pa.array([None] * rows + whole[1:2], pa.int64()), "kept_tokens": pa.array([None] * rows + whole[2:], pa.int64()),
         })
 
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, is_stats boolean, counts binary, tokens long, types long, kept_tokens long"
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, is_stats boolean, counts binary"
+    return blocks.groupBy("block").cogroup(totals.groupBy("child")).applyInArrow(run, schema)
 
 
 def bucket_of(found: np.ndarray) -> np.ndarray:
@@ -212,8 +287,8 @@ def learn_weights(stats: DataFrame, order: int, n: int, v: int, rounds: int = 30
     return weights
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, rounds: int = 30) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, fan: int = FAN, rounds: int = 30) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. 2**fan: children of a node."""
     if order < 1:
         raise ValueError("the order is 1 at least")
     ident = F.col(f"`{id_col}`")
@@ -221,15 +296,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(ident.alias("doc_id"), fold.alias("fold"), F.col(f"`{text}`").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     blocks = text_blocks(rows, block_bytes)
-    each = Window.partitionBy("key")  # a row for each block at most
-    totals = sent_counts(blocks, order).select(
-        "block", "key", F.sum("kept").over(each).alias("kept"), F.sum("deleted").over(each).alias("deleted"),
-        (F.min("block").over(each) == F.col("block")).alias("own"),
-    )
-    tokens = written(token_counts(blocks, totals, id_type, order), "token-counts", LARGE_ROWS)
-    discard(blocks)
-    whole = tokens.filter("is_stats").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens")]).first()
+    bits = max(fan, (blocks.select("block").count() - 1).bit_length())
+    totals = corpus_counts(sent_counts(blocks, order, fan, bits), fan, bits)
+    whole = totals.filter("child < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens")]).first()
     n_train, n_types, n_kept = (int(x) for x in whole)
+    told = totals.filter("child >= 0").select("child", "range", "n", "kept", "deleted")
+    tokens = written(token_counts(blocks, told, id_type, order), "token-counts", LARGE_ROWS)
+    discard(blocks)
+    discard(totals)
     stats = written(tokens.filter("is_stats").select("n_tokens", "counts"), "held-out-counts", LARGE_ROWS)
     weights = learn_weights(stats, order, n_kept, n_types, rounds)
     discard(stats)

@@ -134,8 +134,8 @@ def test_scores(spark, docs):
     assert ngram_lm.score_documents(none(spark)).collect() == []
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_by_brute_force(spark, order):
+@pytest.mark.parametrize(("order", "fan"), [(1, 8), (2, 1), (2, 2), (3, 8)])
+def test_scores_by_brute_force(spark, order, fan):  # trees of one, three and more levels
     rows = [(i, t) for i, t, *_ in ROWS] + [(50 + i, prose(40)) for i in range(30)]
     folds = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i, _ in rows]
     texts = [["<s>"] * (order - 1) + [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for _, t in rows]
@@ -175,7 +175,7 @@ def test_scores_by_brute_force(spark, order):
         found = [look(full, each, v) for each in grams(t)]
         want[i, round(sum(math.log10(sum(x * y for x, y in zip(weight(b), parts, strict=True))) for b, parts in found), 6)] += 1
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = ngram_lm.score_documents(d, order=order, block_bytes=3000, rounds=5).collect()
+    got = ngram_lm.score_documents(d, order=order, block_bytes=3000, fan=fan, rounds=5).collect()
     assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
 
 
