@@ -2,13 +2,19 @@
 
 Texts become token ids and an end id; those longer than a sequence are cut into full pieces and a rest. Only the
 histogram of piece lengths (at most `capacity` rows per salt) reaches the driver, where a plan is made of patterns,
-each with a number of times: first lengths whose sums fill a sequence exactly, looked up as pairs and triples among
-the complements still available, then best fit for what is left. Pieces get a rank within their length in salted
+each with a number of times: an index of single lengths and of the sums of two and three available lengths tells what fills a
+gap exactly. Longest first, each length fills the gaps that it closes alone or with one or two shorter ones, as
+long as all are available; what finds no such gap goes where it fits best, or opens a sequence. Pieces get a rank within their length in salted
 groups, so that a length that holds a third of all pieces is ranked by many tasks, and their place follows from the
 rank. Nothing is cut but what exceeds a sequence.
 
-Defined cases: a null or empty text is one piece with the end id alone; repeated rows are pieces of their own; an
-empty table gives no pieces; extra columns are not read.
+Each step of the plan uses up a length or a group of open sequences, so patterns are a few for each length, and a pattern
+has at most 63 different lengths (64 would exceed 2048 tokens): the table of places that is broadcast is bounded
+by the capacity, whatever the number of documents.
+
+Defined cases: a null or empty text is one piece with the end id alone; very long texts are encoded whole; repeated rows
+are pieces of their own; rows with equal ids, pieces and tokens take their places in any order; an empty table gives no
+pieces; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,110 +35,115 @@ from siftwell.llm._tokens import encoder, tokenizer_path
 SALTS = 64
 
 
-def exact_patterns(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns that fill a sequence exactly; `left` (pieces of each length, up to the capacity) is used up by them."""
-    capacity, out = len(left) - 1, []
+Pattern = tuple[tuple[int, int], ...]  # (length, how often), in the order of their places
+
+
+class ComplementIndex:
+    """Available lengths, and for each sum of two of them the next pair to try; with a third length these are its triples.
+
+    Availability only shrinks, and so does the longest length that may take part, so a pair that was passed over is never
+    tried again: for each sum the place is kept where the search goes on. Lengths that are nearly equal come
+    first, as the shortest pieces are what fits best later.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.at = [(s + 1) // 2 for s in range(len(left))]
 
-    def take(lengths: tuple[int, ...], times: int) -> None:
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two available lengths up to `most` with this sum, the longer first."""
+        at = self.at[total]
+        while at <= most and at < total and (not self.left[at] or self.left[total - at] < 1 + (2 * at == total)):
+            at += 1
+        self.at[total] = at
+        return (at, total - at) if at <= most and at < total else None
+
+    def fill(self, gap: int, longest: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths, `longest` the longest of them, whose sum is the gap."""
+        rest = gap - longest
+        if rest == 0:
+            return (longest,)
+        if rest <= longest and self.left[rest] >= 1 + (rest == longest):
+            return (longest, rest)
+        two = self.pair(rest, longest) if 1 < rest <= 2 * longest else None
+        return (longest, *two) if two and self.left[longest] > two.count(longest) else None
+
+    def take(self, lengths: tuple[int, ...], most: int) -> int:
+        """How often the lengths can be taken, `most` at most; they are used up."""
+        times = min(most, *(int(self.left[x]) // lengths.count(x) for x in lengths))
         for x in lengths:
-            left[x] -= times
-        out.append((lengths, times))
+            self.left[x] -= times
+        return times
 
-    if left[capacity]:
-        take((capacity,), int(left[capacity]))
-    for a in range(capacity - 1, 0, -1):
-        b = capacity - a
-        if b <= a and left[a] and left[b]:
-            times = int(left[a] // 2 if a == b else min(left[a], left[b]))
-            if times:
-                take((a, b), times)
-        if a < capacity / 3:
-            break
-        rest = capacity - a
-        while left[a] and rest > 1:
-            seconds = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-            thirds = rest - seconds
-            fits = seconds[(left[seconds] > 0) & (left[thirds] > 0)]
-            done = False
-            for b in fits.tolist():
-                c = rest - b
-                need: dict[int, int] = defaultdict(int)
-                for x in (a, b, c):
-                    need[x] += 1
-                times = min(int(left[x]) // k for x, k in need.items())
-                if times:
-                    take((a, b, c), times)
-                    done = True
-                if not left[a]:
-                    break
-            if not done:
-                break
-    return out
-
-
-def best_fit_patterns(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit of the rest, longest first, for all pieces of a length at once."""
-    capacity = len(left) - 1
-    open_: dict[int, list[list]] = defaultdict(list)  # by space: [pattern, times]
-    out = []
-    spaces = np.zeros(capacity + 1, dtype=bool)
-
-    def put(space: int, pattern: tuple[int, ...], times: int) -> None:
-        if space == 0:
-            out.append((pattern, times))
-        else:
-            open_[space].append([pattern, times])
-            spaces[space] = True
 
-    for x in range(capacity, 0, -1):
-        n = int(left[x])
-        while n:
-            fits = np.flatnonzero(spaces[x:])
-            if not len(fits):
-                each = capacity // x
-                if n // each:
-                    put(capacity - each * x, (x,) * each, n // each)
-                if n % each:
-                    put(capacity - n % each * x, (x,) * (n % each), 1)
-                n = 0
-                break
-            space = x + int(fits[0])
-            pattern, times = open_[space][-1]
-            m = min(n, times)
-            if m == times:
-                open_[space].pop()
-                spaces[space] = bool(open_[space])
-            else:
-                open_[space][-1][1] -= m
-            put(space - x, (*pattern, x), m)
-            n -= m
-        left[x] = 0
-    return out + [(p, n) for bins in open_.values() for p, n in bins]
+def longer(pattern: Pattern, lengths: tuple[int, ...]) -> Pattern:
+    out = list(pattern)
+    for x in lengths:
+        if out and out[-1][0] == x:
+            out[-1] = x, out[-1][1] + 1
+        else:
+            out.append((x, 1))
+    return tuple(out)
 
 
-def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): exact complements and best fit; plain best fit instead where that needs fewer sequences."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
+def packing_plan(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """(pattern, times): longest first, each length fills gaps exactly, alone or with one or two shorter ones, then goes where it fits best."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
-        counts[length] = n
-    plain = best_fit_patterns(counts.copy())
-    plan = exact_patterns(counts)
-    plan += best_fit_patterns(counts)
-    return plan if sum(n for _, n in plan) <= sum(n for _, n in plain) else plain
+        left[length] = n
+    index, plan = ComplementIndex(left), []
+    if left[capacity]:
+        plan.append((((capacity, 1),), int(left[capacity])))
+        left[capacity] = 0
+    open_: dict[int, list[list]] = defaultdict(list)  # by gap: [pattern, times]
+    gaps = np.zeros(capacity + 1, dtype=bool)
+
+    def put(gap: int, pattern: Pattern, times: int) -> None:
+        if gap:
+            open_[gap].append([pattern, times])
+            gaps[gap] = True
+        elif times:
+            plan.append((pattern, times))
+
+    def grow(gap: int, lengths: tuple[int, ...]) -> None:
+        """The lengths into the last opened sequences with this gap, as many as there are of both."""
+        pattern, times = open_[gap].pop()
+        n = index.take(lengths, times)
+        if n < times:
+            open_[gap].append([pattern, times - n])
+        gaps[gap] = bool(open_[gap])
+        put(gap - sum(lengths), longer(pattern, lengths), n)
 
+    for x in range(capacity, 0, -1):
+        if not left[x]:
+            continue
+        for gap in (x + np.flatnonzero(gaps[x : 3 * x + 1])).tolist():
+            while left[x] and gaps[gap] and (found := index.fill(gap, x)):
+                grow(gap, found)
+        while left[x]:
+            fits = np.flatnonzero(gaps[x:])
+            if len(fits):
+                grow(x + int(fits[0]), (x,))
+            else:
+                each = min(capacity // x, int(left[x]))
+                n = int(left[x]) // each
+                left[x] -= n * each
+                put(capacity - each * x, ((x, each),), n)
+    return plan + [(p, n) for bins in open_.values() for p, n in bins]
 
-def places(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: pieces of a length take them in rank order."""
+
+def places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
+    """Rows (length, first rank, how often in a sequence, first sequence, offset), sorted: pieces of a length take them in rank order."""
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
-    for lengths, times in plan:
+    for pattern, times in plan:
         offset = 0
-        for x in lengths:
-            rows.append((x, used[x], base, offset))
-            used[x] += times
-            offset += x
+        for x, each in pattern:
+            rows.append((x, used[x], each, base, offset))
+            used[x] += times * each
+            offset += x * each
         base += times
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
 def token_pieces(docs: DataFrame, id_col: str, text: str, capacity: int, path: str, with_ids: bool = False) -> DataFrame:
@@ -179,7 +190,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     ranked = pieces.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets), ["length", "salt"])
     extra = ["ids"] * with_ids
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *extra, (F.col("before") + F.col("rank") - 1).alias("rank"))
-    sent = spark.sparkContext.broadcast(table)  # a row for each place of each pattern: bounded by the capacity, not by the data
+    if len(table) > 63 * 8 * capacity:  # see above: patterns are a few for each length
+        raise ValueError(f"a plan of {len(table)} places for sequences of {capacity}")
+    sent = spark.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -190,8 +203,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
             length, rank = (np.asarray(batch.column(x)).astype(np.int64) for x in ("length", "rank"))
             at = np.searchsorted(key, length * stride + np.minimum(rank, stride - 1), side="right") - 1
             at = np.maximum(at, ends[length])
+            turn, each = rank - table[at, 1], table[at, 2]
             kept = batch.drop_columns(["rank"])
-            yield kept.append_column("sequence_id", pa.array(table[at, 2] + rank - table[at, 1])).append_column("offset", pa.array(table[at, 3]))
+            yield kept.append_column("sequence_id", pa.array(table[at, 3] + turn // each)).append_column("offset", pa.array(table[at, 4] + turn % each * length))
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return ranked.mapInArrow(place, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long")
