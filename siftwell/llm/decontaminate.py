@@ -3,23 +3,26 @@
 Every window of as many words as an item has is a candidate for that item; a document with fewer words is one window, as
 long as it has enough shingles for the similarity. Its 64-bit SimHash over weighted shingles is
 looked up in eight blocks of eight bits: fingerprints within a distance of `radius` agree in some block up to
-radius // 8 bits, and the tables hold every block value within that many errors, so no fingerprint within the radius is
-missed. Candidates are verified by the similarity of their weighted shingles (sum of the smaller over sum of the larger
-counts). Windows that hold too few benchmark shingles to reach the similarity are passed over before they are
+radius // 8 bits, and a window is looked up under every block value within that many errors, so no fingerprint within the
+radius is missed. What the look-ups find is verified by the similarity of weighted shingles (sum of the smaller over sum of
+the larger counts). Windows that hold too few benchmark shingles to reach the similarity are passed over before they are
 fingerprinted; that bound is exact.
 
-The benchmark is a query set: it is taken in blocks of a bounded number of bytes, each broadcast in turn
-and held against all rows, without any shuffle of documents. Words are runs of letters, digits and non-ASCII characters,
-A-Z in lower case, so ASCII case and punctuation make no difference.
+The benchmark is a query set: it is read in blocks of `block_bytes` at most (or of one item, if that is larger), each broadcast
+and held against all rows, without any shuffle of documents; a benchmark up to that size costs one scan of them.
+Words are runs of letters, digits and non-ASCII characters, A-Z in lower case, so ASCII case and punctuation make no
+difference.
 
-Defined cases: null and empty texts and items without words match nothing; items of fewer words than a shingle
-are one shingle and match exactly; repeated items each match; repeated rows match alike; a null id is kept as such.
+Defined cases: null and empty texts and items without words match nothing; items of fewer words than a shingle are one
+shingle and match exactly; repeated items each match; repeated rows match alike; a null id is kept as such; very long
+texts are compared whole; of equally similar windows the first is told; an empty table or benchmark gives no matches, and
+`without_leaks` then returns all rows; other columns pass through it whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from siftwell.llm._text import ALNUM, U64, Words, column, shingles, slices
 
 BLOCKS, BITS = 8, 8
 RADIUS = 23
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def fingerprints(shingle_hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
@@ -46,28 +49,55 @@ def near_values(errors: int) -> np.ndarray:
     return np.array([x for x in range(1 << BITS) if x.bit_count() <= errors])
 
 
+class SizeIndex:
+    """Items with the same number of words: fingerprints, their numbers by block value, and their shingle counts."""
+
+    def __init__(self, m: int, idents: list, shingle_lists: list[np.ndarray]):
+        self.m, self.idents = m, idents
+        self.prints = np.concatenate([fingerprints(s, np.zeros(1, dtype=np.int64), m) for s in shingle_lists])
+        values = [((self.prints >> U64(b * BITS)) & U64((1 << BITS) - 1)).astype(np.int64) for b in range(BLOCKS)]
+        self.members = [np.argsort(v, kind="stable") for v in values]
+        self.bounds = [np.searchsorted(v[order], np.arange((1 << BITS) + 1)) for v, order in zip(values, self.members, strict=True)]
+        counted = [np.unique(s, return_counts=True) for s in shingle_lists]
+        self.at = np.concatenate([[0], np.cumsum([len(k) for k, _ in counted])])
+        self.keys, self.counts = np.concatenate([k for k, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.int32)
+
+    def look_up(self, prints: np.ndarray, near: np.ndarray, radius: int) -> Iterator[tuple[int, int, int]]:
+        """(place, item, distance) of each fingerprint and item that meet in a block and are within the radius."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for block in range(BLOCKS):
+            probes = ((prints >> U64(block * BITS)) & U64((1 << BITS) - 1)).astype(np.int64)[:, None] ^ near[None, :]
+            lo = self.bounds[block][probes].ravel()
+            n = self.bounds[block][probes + 1].ravel() - lo
+            place = np.repeat(np.arange(len(prints)).repeat(len(near)), n)
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.unique(place * len(self.prints) + self.members[block][at]))
+        place, item = np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+        distance = np.bitwise_count(prints[place] ^ self.prints[item])
+        close = distance <= radius
+        yield from zip(place[close].tolist(), item[close].tolist(), distance[close].tolist(), strict=True)
+
+    def shared(self, item: int, window: np.ndarray) -> int:
+        """Sum of the smaller counts of the shingles of an item and a window."""
+        a, b = self.at[item], self.at[item + 1]
+        keys, counts = np.unique(window, return_counts=True)
+        _, x, y = np.intersect1d(self.keys[a:b], keys, assume_unique=True, return_indices=True)
+        return int(np.minimum(self.counts[a:b][x], counts[y]).sum())
+
+
 class ItemIndex:
     """Items of one block of the benchmark, by their number of words."""
 
     def __init__(self, items: list[tuple], k: int, similarity: float, radius: int):
         self.k, self.similarity, self.radius = k, similarity, radius
-        self.sizes: dict[int, dict] = {}
         by_size = defaultdict(list)
-        raw = [(x[0], (x[1] or "").encode()) for x in items]
-        for ident, text in raw:
-            words = Words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), ALNUM)
+        for ident, text in items:
+            raw = (text or "").encode()
+            words = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), ALNUM)
             if n := len(words.hashes):
                 by_size[n].append((ident, shingles(words.hashes, min(k, n))))
-        near = near_values(radius // BLOCKS)
-        for n, group in by_size.items():
-            m = max(1, n - k + 1)
-            prints = np.concatenate([fingerprints(s, np.zeros(1, dtype=np.int64), m) for _, s in group])
-            tables = np.zeros((BLOCKS, 1 << BITS, len(group)), dtype=bool)
-            for b in range(BLOCKS):
-                value = ((prints >> U64(b * BITS)) & U64((1 << BITS) - 1)).astype(np.int64)
-                for e in near:
-                    tables[b, value ^ e, np.arange(len(group))] = True
-            self.sizes[n] = {"m": m, "prints": prints, "tables": tables, "items": [(i, Counter(s.tolist())) for i, s in group]}
+        self.near = near_values(radius // BLOCKS)
+        self.sizes = {n: SizeIndex(max(1, n - k + 1), [i for i, _ in group], [s for _, s in group]) for n, group in by_size.items()}
         self.known = {}
         for width in {min(k, n) for n in self.sizes}:
             own = [s for n, g in by_size.items() if min(k, n) == width for _, s in g]
@@ -103,35 +133,42 @@ class ItemIndex:
             for row in np.flatnonzero(total[upto[1:]] > total[upto[:-1]]).tolist():
                 a, b = int(bounds[row]), int(bounds[row + 1])
                 for n, g in self.sizes.items():
-                    m, length = g["m"], min(n, b - a)  # a row shorter than the item is one window
+                    m, length = g.m, min(n, b - a)  # a row shorter than the item is one window
                     w = length - width + 1
                     if min(self.k, n) != width or w < 1 or self.need(m, w) > w:
                         continue
                     starts = np.arange(a, b - length + 1)
                     starts = starts[total[starts + w] - total[starts] >= self.need(m, w)]
-                    if not len(starts):
-                        continue
-                    base = int(starts[0])
-                    prints = fingerprints(s[base : int(starts[-1]) + w], starts - base, w)
-                    near = np.zeros((len(starts), len(g["items"])), dtype=bool)
-                    for block in range(BLOCKS):
-                        near |= g["tables"][block, ((prints >> U64(block * BITS)) & U64((1 << BITS) - 1)).astype(np.int64)]
-                    distance = np.bitwise_count(prints[:, None] ^ g["prints"][None, :])
-                    for i, j in zip(*np.nonzero(near & (distance <= self.radius)), strict=True):
-                        ident, counts = g["items"][j]
-                        window = Counter(s[starts[i] : starts[i] + w].tolist())
-                        both = (window & counts).total()
-                        if both and both >= self.similarity * (m + w - both) - 1e-9:
-                            yield row, ident, int(starts[i]) - a, length, both / (m + w - both), int(distance[i, j])
+                    for part in (starts[i : i + 1024] for i in range(0, len(starts), 1024)):
+                        base = int(part[0])
+                        prints = fingerprints(s[base : int(part[-1]) + w], part - base, w)
+                        for place, item, distance in g.look_up(prints, self.near, self.radius):
+                            both = g.shared(item, s[part[place] : part[place] + w])
+                            if both and both >= self.similarity * (m + w - both) - 1e-9:
+                                yield row, g.idents[item], int(part[place]) - a, length, both / (m + w - both), distance
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text: str, most: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about `most` bytes, read one at a time."""
-    b = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(size / most)
-    for i in range(n):
-        yield [tuple(r) for r in b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
+    """The benchmark in blocks of `most` bytes at most, or of one larger item; the driver holds one block and one partition."""
+    block, size = [], 0
+    for ident, body in benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text}`").alias("text")).toLocalIterator():
+        n = len((body or "").encode()) + 16
+        if block and size + n > most:
+            yield block
+            block, size = [], 0
+        block.append((ident, body))
+        size += n
+    if block:
+        yield block
+
+
+class ItemBlock(list):
+    """The items of a block; a Python worker builds their index once and keeps it with the broadcast block."""
+
+    def index(self, *settings) -> ItemIndex:
+        if getattr(self, "built", (None,))[0] != settings:
+            self.built = settings, ItemIndex(self, *settings)
+        return self.built[1]
 
 
 def batch_matches(index: ItemIndex, array) -> Iterator[tuple]:
@@ -150,10 +187,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, similarity double, distance int"
     out = spark.createDataFrame([], schema)
     for items in item_blocks(benchmark, item_id, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(items)  # of block_bytes at most
+        sent = spark.sparkContext.broadcast(ItemBlock(items))  # of block_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, words, similarity, radius)
+            index = sent.value.index(words, similarity, radius)
             for batch in batches:
                 best: dict[tuple, tuple] = {}
                 for row, ident, first, n, s, distance in batch_matches(index, batch.column(1)):
@@ -176,10 +213,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs without the rows that hold a window similar to an item."""
     spark, at, names, schema = docs.sparkSession, docs.columns.index(text), docs.columns, docs.schema
     for items in item_blocks(benchmark, item_id, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(items)
+        sent = spark.sparkContext.broadcast(ItemBlock(items))  # of block_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, words, similarity, radius)
+            index = sent.value.index(words, similarity, radius)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for row, *_ in batch_matches(index, batch.column(at)):
