@@ -4,8 +4,9 @@ Each line is judged by punctuation, navigation, symbol, capital and boilerplate
 and a document that loses too much of its text, or fails the base rules, is rejected.
 
 Defined cases: a null text has no words, no lines and is rejected; empty and white-space lines are
-neither kept nor counted as lost; repeated rows are judged one by one; further columns pass through
-`line_first_clean` untouched, whatever their names, because its own columns go into one struct.
+neither kept nor counted as lost; very long texts and lines are judged whole; equal lines are judged alike, each counted; a
+document at a limit passes it; repeated rows are judged one by one; an empty table gives no rows; further columns pass
+through `line_first_clean` untouched, whatever their names, but for one named as the result (`into`), which it replaces.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm._names import fresh
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 BOILERPLATE = (
@@ -76,33 +79,36 @@ def line_fails(line: Column) -> Column:
 def line_first_clean(docs: DataFrame, text: str = "text", into: str = "quality", least_kept: float = 0.5, min_words: int = 10, most_repeated: int = 20) -> DataFrame:
     """docs with a struct column `into`: the counts, the cleaned text, the share kept and the verdict."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    w, lines = F.col("__words"), F.col("__lines")
+    names = fresh(docs, "words", "lines", "left", "repeat", "clean", "chars")
+    w, lines, left, repeat, clean, n_chars = (F.col(x) for x in names)
     chars = lambda x: F.length(F.regexp_replace(x, SPACE, ""))
-    staged = (
-        docs.withColumn("__words", words_of(body))
-        .withColumn("__lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        .withColumn("__left", F.filter(lines, lambda x: ~line_fails(x)))
-        .withColumn("__repeat", repeated_words(w, F.size(w)))
-        .withColumn("__clean", F.array_join("__left", "\n"))
-        .withColumn("__chars", chars(body).cast("long"))
-    )
+    staged = docs
+    for name, value in zip(
+        names,
+        (
+            words_of(body), F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.filter(lines, lambda x: ~line_fails(x)),
+            repeated_words(w, F.size(w)), F.array_join(left, "\n"), chars(body).cast("long"),
+        ),
+        strict=True,
+    ):
+        staged = staged.withColumn(name, value)
     n = F.size(w).cast("long")
-    failed = (n < min_words) | (100 * F.col("__repeat") > most_repeated * n)
-    share = F.when(F.col("__chars") > 0, chars(F.col("__clean")) / F.col("__chars")).otherwise(F.lit(0.0))
+    failed = (n < min_words) | (100 * repeat > most_repeated * n)
+    share = F.when(n_chars > 0, chars(clean) / n_chars).otherwise(F.lit(0.0))
     kept = ~failed & (share >= least_kept)
     out = F.struct(
         n.alias("n_words"),
-        F.col("__chars").alias("word_chars"),
+        n_chars.alias("word_chars"),
         symbols_in(body).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
+        repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
         kept.alias("kept"),
-        (F.size(lines) - F.size("__left")).cast("long").alias("n_failed_lines"),
+        (F.size(lines) - F.size(left)).cast("long").alias("n_failed_lines"),
         F.round(share, 6).alias("kept_share"),
-        F.col("__clean").alias("clean_text"),
+        clean.alias("clean_text"),
     )
-    return staged.withColumn(into, out).drop("__words", "__lines", "__left", "__repeat", "__clean", "__chars")
+    return staged.withColumn(into, out).drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

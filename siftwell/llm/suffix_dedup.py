@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm._names import fresh
 from siftwell.llm._store import discard, release, written
 from siftwell.llm._text import U64, Rolling, column, mix, slices
 
@@ -200,9 +201,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     """docs with repeated strings cut from `text`, by whole characters; a null text stays null."""
     name = f"`{text}`"
     keys = F.xxhash64(F.col(f"`{id_col}`"), F.col(name)), F.hash(F.col(name), F.col(f"`{id_col}`"))
-    found = repeated_ranges(keyed(docs, id_col, text), length).withColumnsRenamed({"r1": "__r1", "r2": "__r2", "ranges": "__ranges"})
-    joined = docs.withColumn("__r1", keys[0]).withColumn("__r2", keys[1]).join(found, ["__r1", "__r2"], "left").drop("__r1", "__r2")
-    at, ranges_at, names = joined.columns.index(text), joined.columns.index("__ranges"), docs.columns
+    r1, r2, ranges = fresh(docs, "r1", "r2", "ranges")
+    found = repeated_ranges(keyed(docs, id_col, text), length).toDF(r1, r2, ranges)
+    joined = docs.withColumn(r1, keys[0]).withColumn(r2, keys[1]).join(found, [r1, r2], "left").drop(r1, r2)
+    at, ranges_at, names = joined.columns.index(text), joined.columns.index(ranges), docs.columns
     joined = joined.toDF(*[f"c{i}" for i in range(len(joined.columns))])  # whatever the columns are called
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
