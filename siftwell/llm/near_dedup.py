@@ -3,8 +3,8 @@
 A signature has `components` MinHash values of 16 bits; its distance is the number of differing components. Signatures
 are split into chunks of four components. Two signatures with a distance of less than twice the number of chunks
 have, by the pigeonhole principle, a chunk with at most one differing component; so each chunk is indexed four times, each
-time with one component left out, and every such pair meets in at least one bucket (each chunk misses with
-probability 0.18 at a Jaccard similarity of 0.8, all ten of them with less than 1e-7).
+time with one component left out, and every such pair meets in at least one bucket. At a Jaccard similarity of exactly
+0.8 a pair is beyond that distance (20 or more of 40 components) with a probability of 2.2e-5, less above it.
 
 Rows with the same set are first collapsed into a class. Buckets never emit all their pairs: a few hubs for each bucket
 (members with the smallest hash, another for each chunk) are paired with the members; then only members that
@@ -13,8 +13,8 @@ confirmed on the full texts, in the tile itself where the bucket is large. So a
 link that joins two components is lost.
 
 Defined cases: without words or text the set is empty and the row is linked with nothing; a row with a null id is
-linked with nothing, has a null component and is kept; rows that share an id are one vertex; repeated rows get
-equal results; extra columns are not read.
+linked with nothing, has a null component and is kept; rows that share an id are one vertex, whatever their texts; repeated
+rows get equal results; very long texts are read whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -211,23 +211,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     reps = written(reps, "representatives")
     keys = bucketed(reps)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    # counts and choices by bucket are written: a join of written tables is one that adaptive execution can split by key
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "shared")
     hits = written(keys.join(shared, "key").select("key", "n", "node"), "buckets")
 
     # hubs: in buckets of one chunk the same order, so a homogeneous group has one hub for each chunk
     order = F.struct(F.xxhash64("node", F.shiftright("key", 50)).alias("h"), F.col("node").alias("hub"))
-    hubs = hits.groupBy("key").agg(F.min(order)["hub"].alias("hub"))
+    hubs = written(hits.groupBy("key").agg(F.min(order)["hub"].alias("hub")), "hubs")
     stars = hits.join(hubs, "key").filter(F.col("node") != F.col("hub")).select(*ordered("hub", "node")).distinct()
     stars = written(stars, "stars")
     nodes = hits.select("node").distinct()
     texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     texts = written(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
-    links = written(confirmed(stars, texts, words, percent), "star-links")
+    # an id with several sets links their classes
+    several = linkable.join(written(sigs.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).filter("lo != hi").select("doc_id"), "several"), "doc_id", "left_semi")
+    own = several.join(classes, same).select(*ordered("doc_id", "node")).filter("a != b")
+    links = written(confirmed(stars, texts, words, percent).unionByName(own), "star-links")
     labels = components(links)
 
     # what hubs did not settle: members of a bucket in different components, compared in tiles
-    member = hits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+    member = written(hits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    open_ = written(member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key"), "open")
     left = member.join(open_, "key").join(reps, "node")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
@@ -244,8 +248,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     more = written(more, "rest-links")
     labels = components(links.unionByName(more))
 
-    out = sigs.join(classes, same, "left").join(labels, "node", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
+    out = sigs.join(classes, same, "left").withColumn("node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("node", "doc_id"))).join(labels, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
