@@ -6,9 +6,13 @@ or counts kept from an earlier count: a deleted or revised document then needs n
 committed by renaming its written deltas to a folder named by its id; a batch that is already there, and a second
 attempt that loses the race, change nothing. Totals are sums over committed batches, so the order of commits does not matter.
 
+`compact` folds them into a snapshot, so that totals need not read every batch for ever. The rename has to be atomic, as it
+is on HDFS and local disks; on an object store without it, writers of one id must be kept apart by other means.
+
 Defined cases: a null or empty text has no tokens and counts as a document; null sources and languages are groups of
-their own; repeated rows count each; a batch without changes commits an empty set; groups whose documents and tokens
-are all zero are left out of the totals.
+their own; repeated rows count each; a batch without changes commits an empty set; an id that was committed is ignored,
+whatever it brings; very long texts are counted whole; groups whose documents and tokens are all zero are left out of
+the totals; an empty table has no totals; other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,13 +132,43 @@ class TokenRollup:
             self.fs.delete(self._path(staged), True)
         return bool(won)
 
-    def totals(self) -> DataFrame:
-        root = self._path(f"{self.path}/batches")
-        names = [x.getPath().toString() for x in self.fs.listStatus(root)] if self.fs.exists(root) else []
+    def _listed(self, folder: str) -> list[str]:
+        root = self._path(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(root)) if self.fs.exists(root) else []
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The newest snapshot and the committed batches that it does not hold."""
+        snapshots, batches = self._listed("snapshots"), self._listed("batches")
+        if not snapshots:
+            return None, batches
+        at = f"{self.path}/snapshots/{snapshots[-1]}"
+        held = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect()}  # as many as were committed
+        return at, [x for x in batches if x not in held]
+
+    def compact(self) -> None:
+        """Write the totals of all committed batches as a snapshot; later totals read it and the batches that came after.
+
+        Batches stay where they are, so an id that was committed stays known. A snapshot is complete before it has its name."""
+        snapshots, (_, new) = self._listed("snapshots"), self._state()
+        if not new:
+            return
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        known = self._listed("batches")  # listed before the totals are: what comes in between is not held
+        self._sums(known).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(x,) for x in known], "batch string").coalesce(1).write.parquet(f"{staged}/batches")
+        self.fs.mkdirs(self._path(f"{self.path}/snapshots"))
+        number = int(snapshots[-1].split("-")[0]) + 1 if snapshots else 1
+        self.fs.rename(self._path(staged), self._path(f"{self.path}/snapshots/{number:012d}-{uuid.uuid4().hex}"))
+
+    def _sums(self, only: list[str] | None = None) -> DataFrame:
+        at, new = self._state()
+        names = [f"{self.path}/batches/{x}" for x in new if only is None or x in only] + ([f"{at}/totals"] if at else [])
         if not names:
             return self.spark.createDataFrame([], SHAPE)
-        sums = self.spark.read.schema(SHAPE).parquet(*names).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self.spark.read.schema(SHAPE).parquet(*names).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def totals(self) -> DataFrame:
+        return self._sums().filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

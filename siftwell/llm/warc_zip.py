@@ -12,7 +12,8 @@ is run again writes others, and only archives named by the committed catalogue a
 
 Defined cases: a null html is an empty payload; rows with equal page_id and payload are all responses if that id is
 the smallest; a null page_id is never the target of a revisit unless all ids of its group are null, and then all its
-records are responses; a null url is written as `urn:none`; an empty table gives no archives and no rows.
+records are responses; a null url is written as `urn:none`; a very long html is one record; ids are percent-encoded in
+headers, so any text comes back as it was; an empty table gives no archives and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -141,9 +143,9 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_t
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
-        head.append(f"WARC-Page-ID: {page_id}")
+        head.append(f"WARC-Page-ID: {quote(str(page_id), safe='')}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {quote(str(refers_to), safe='')}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -173,8 +175,14 @@ def with_revisits(pages: DataFrame, id_col: str, url: str, html: str, least: int
         .filter((F.col("copies") > 1) & F.col("first").isNotNull()).drop("copies"),
         "payloads",
     )
+    # ids meet the groups, and bodies meet ids: a payload that many pages share is dealt by their ids, not by itself
+    key = ["k1", "k2", "n"]
+    told = keyed.select("page_id", *key).distinct().join(groups, key).select(F.col("page_id").alias("p_id"), *[F.col(c).alias(f"g_{c}") for c in key], "first")
+    same = F.col("page_id").eqNullSafe(F.col("p_id"))
+    for c in key:
+        same = same & (F.col(c) == F.col(f"g_{c}"))
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
-    return keyed.join(groups, ["k1", "k2", "n"], "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return keyed.join(told, same, "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> DataFrame:
@@ -216,8 +224,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
 
 
 def read_archives(catalogue: DataFrame, id_type: str = "bigint", with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives named in `path`, each range-read on its own; response payloads are checked against their digests."""
-    arrow_type = pa.int64() if id_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
+    """One row per record of the archives named in `path`, each range-read on its own; response payloads are checked against their digests.
+
+    Ids stand in headers as text, percent-encoded, and come back as `id_type`, any type that a string can be cast to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +244,9 @@ def read_archives(catalogue: DataFrame, id_type: str = "bigint", with_payload: b
                             digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                             if kind == "response" and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
                                 raise ValueError(f"{path}: a payload does not match its digest")
-                            rows.append((f.get("WARC-Page-ID"), int(r["http"]["Content-Length"]), digest, kind, f.get("WARC-Refers-To-Page-ID"), f["WARC-Target-URI"], r["payload"]))
-                        ids = [pa.array([x[c] for x in rows], pa.string()).cast(arrow_type) for c in (0, 4)]
+                            page_id, refers_to = (None if f.get(k) is None else unquote(f[k]) for k in ("WARC-Page-ID", "WARC-Refers-To-Page-ID"))
+                            rows.append((page_id, int(r["http"]["Content-Length"]), digest, kind, refers_to, f["WARC-Target-URI"], r["payload"]))
+                        ids = [pa.array([x[c] for x in rows], pa.string()) for c in (0, 4)]
                         made = {
                             "page_id": ids[0], "payload_bytes": pa.array([x[1] for x in rows], pa.int64()), "payload_digest": pa.array([x[2] for x in rows]),
                             "record_type": pa.array([x[3] for x in rows]), "refers_to": ids[1], "target_uri": pa.array([x[5] for x in rows]),
@@ -245,8 +255,8 @@ def read_archives(catalogue: DataFrame, id_type: str = "bigint", with_payload: b
                             made["payload"] = pa.array([x[6] for x in rows], pa.binary())
                         yield pa.RecordBatch.from_pydict(made)
 
-    kind = "bigint" if arrow_type == pa.int64() else "string"
-    return catalogue.select("path").mapInArrow(read, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string" + ", payload binary" * with_payload)
+    found = catalogue.select("path").mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, target_uri string" + ", payload binary" * with_payload)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", least: int = 0, archive_bytes: int = 32 << 20) -> DataFrame:
