@@ -119,7 +119,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def _sql(depth: int = 3) -> str:
+def _sql(depth: int = 6) -> str:
+    """For paths of up to `depth` segments."""
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in ordered)
@@ -132,20 +133,20 @@ def _sql(depth: int = 3) -> str:
     array_to_string(template[{level + 1}:], '/') AS below, template[{level}] AS seg FROM {last})
 , b{number} AS (SELECT host, parent, below, seg, sum(blocked) AS b, sum(labelled) AS n FROM k{number} WHERE deep GROUP BY ALL)
 , s{number} AS (SELECT *, sum(b) OVER w AS ab, sum(n) OVER w AS an FROM b{number} WINDOW w AS (PARTITION BY host, parent, below))
-, o{number} AS (SELECT host, parent, below, seg FROM s{number} WHERE n > 0 AND an > n
+, o{number} AS (SELECT host, parent, below, seg FROM s{number} WHERE an > 0 AND (n = 0 OR an > n
     AND abs((b + 0.5) / (n + 1.0::DOUBLE) - (ab - b + 0.5) / (an - n + 1.0::DOUBLE))
-      > 1.96 * sqrt((ab + 1.0::DOUBLE) / (an + 2.0) * (1 - (ab + 1.0::DOUBLE) / (an + 2.0)) * (1 / (n + 1.0::DOUBLE) + 1 / (an - n + 1.0::DOUBLE))))
+      > 1.96 * sqrt((ab + 1.0::DOUBLE) / (an + 2.0) * (1 - (ab + 1.0::DOUBLE) / (an + 2.0)) * (1 / (n + 1.0::DOUBLE) + 1 / (an - n + 1.0::DOUBLE)))))
 , {t} AS (SELECT k.host, k.leaf, k.blocked, k.labelled, CASE WHEN NOT deep OR o.seg IS NOT NULL THEN template
-    ELSE list_concat(template[1:{level - 1}], [CASE WHEN k.seg = '**' THEN '**' ELSE '*' END], template[{level + 1}:]) END AS template
-  FROM k{number} k LEFT JOIN o{number} o ON k.deep AND k.host = o.host AND k.parent = o.parent AND k.below = o.below AND k.seg = o.seg)"""
+    ELSE list_concat(template[1:{level - 1}], [CASE WHEN w.seg IS NULL THEN '*' ELSE '*?' END], template[{level + 1}:]) END AS template
+  FROM k{number} k LEFT JOIN o{number} o ON k.deep AND k.host = o.host AND k.parent = o.parent AND k.below = o.below AND k.seg = o.seg
+  LEFT JOIN o{number} w ON k.deep AND k.host = w.host AND k.parent = w.parent AND k.below = w.below AND w.seg = '*')"""
         last = t
     return rf"""
 WITH r AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages)
 , p AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r)
 , j0 AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM p)
-, j AS (SELECT *, list_concat(list_transform(segs[1:{depth}], lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END),
-    CASE WHEN len(segs) > {depth} THEN ['**'] ELSE [] END) AS leaf FROM j0)
+, j AS (SELECT *, list_transform(segs, lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END) AS leaf FROM j0)
 , t0 AS (SELECT host, leaf, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled, leaf AS template FROM j GROUP BY host, leaf){levels}
 , g AS (SELECT host, template, sum(blocked) AS b, sum(labelled) AS n FROM {last} GROUP BY ALL)
 , l AS (SELECT x.host, x.leaf, '/' || array_to_string(x.template, '/') AS template, round((b + 0.4::DOUBLE) / (n + 4.0::DOUBLE), 6) AS purity
