@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import written
+from siftwell.llm._names import fresh
+from siftwell.llm._store import discard, written
 from siftwell.llm.decontaminate import without_leaks
 from siftwell.llm.near_dedup import near_components
 from siftwell.llm.packing import pack
@@ -27,16 +28,22 @@ def _as_before(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the row number keeps the filter above the projections: pushed below, every rule would be computed many times over
-    judged = line_first_clean(docs, into="__quality").withColumn("__row", F.monotonically_increasing_id())
-    judged = judged.filter(F.col("__quality.kept") & (F.col("__row") >= 0))
-    return _as_before(judged.withColumn("text", F.col("__quality.clean_text")), docs)
+    quality, row = fresh(docs, "quality", "row")
+    judged = line_first_clean(docs, into=quality).withColumn(row, F.monotonically_increasing_id())
+    judged = judged.filter(F.col(f"{quality}.kept") & (F.col(row) >= 0))
+    return _as_before(judged.withColumn("text", F.col(f"{quality}.clean_text")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat an id and its text are one document; rows with a null id are all kept."""
+    """Rows that repeat an id and its text are one document, told by the least of their other columns; rows with a null id are all kept."""
     kept = near_components(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*[f"`{c}`" for c in docs.columns])
+    mine = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    key = [columns[names.index("doc_id")], columns[names.index("text")]]
+    rest = [c for c in columns if c not in key]
+    one = mine.toDF(*columns).groupBy(*key).agg(F.min(F.struct(F.lit(0).alias("none"), *rest)).alias("rest"))
+    one = one.select(*[c if c in key else F.col(f"rest.{c}") for c in columns]).toDF(*names)
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
