@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def average_hash(pixels: Column, n: int = 8) -> Column:
-    """One bit for each of n*n (at most 64) pixels: at least the mean; the first pixel is the highest bit."""
-    count = n * n
-    total = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    bits = F.transform(pixels, lambda x: F.when(x.cast("double") * count >= total, F.lit("1")).otherwise(F.lit("0")))
-    return F.conv(F.array_join(bits, ""), 2, -10).cast("long")
+    """One bit for each of n*n grey levels (whole numbers): at least their mean, rounded down; in 64-bit words, the first pixel highest."""
+    total = F.aggregate(pixels, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    mean = F.floor(total / (n * n))
+    bits = F.array_join(F.transform(pixels, lambda x: F.when(x >= mean, F.lit("1")).otherwise(F.lit("0"))), "")
+    return F.array(*[F.conv(F.substring(bits, i + 1, 64), 2, -10).cast("long") for i in range(0, n * n, 64)])
 
 
 def permuted(pixels: Column, order: list[int]) -> Column:
@@ -39,9 +39,9 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def least_distance(left: Column, right: Column) -> Column:
-    """The least distance over all pairs of variants."""
-    return F.array_min(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: hamming(a, b)))))
+def words_distance(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of words."""
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, x: s + x)
 
 
 def hex_words(value: Column, n_hex: int = 64) -> Column:
@@ -50,11 +50,6 @@ def hex_words(value: Column, n_hex: int = 64) -> Column:
     return F.array(*[word(i) for i in range(0, n_hex, 16)])
 
 
-def hex_distance(a: Column, b: Column, n_hex: int = 64) -> Column:
-    pairs = F.zip_with(hex_words(a, n_hex), hex_words(b, n_hex), hamming)
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
-
-
 def image_score(distance: Column, n: int = 8) -> Column:
     return F.round(F.lit(100.0) * (n * n - F.least(distance, F.lit(n * n))) / (n * n)).cast("int")
 

@@ -9,7 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CSV_COLUMNS = ["mode", "group", "size", "algorithm", "hash", "reason", "path", "is_protected", "suggested_keep"]
+# The columns of a CSV report.
+CSV_COLUMNS = ["mode", "group", "suggested_keep", "protected", "size", "algorithm", "hash", "reason", "path"]
 
 
 def flatten_report(items: DataFrame, mode: str, keys: tuple[str, ...] = ("size", "hash")) -> DataFrame:
@@ -66,13 +67,20 @@ def as_csv(report: dict) -> str:
     w.writerow(CSV_COLUMNS)
     for n, g in enumerate(report["duplicate_groups"], 1):
         for i in g["items"]:
-            w.writerow([report["mode"], n, i["size"], g["algorithm"], g["hash"], g["reason"], i["path"], str(i["is_protected"]).lower(), str(i["suggested_keep"]).lower()])
+            w.writerow([report["mode"], n, str(i["suggested_keep"]).lower(), str(i["is_protected"]).lower(), i["size"], g["algorithm"], g["hash"], g["reason"], i["path"]])
     return out.getvalue()
 
 
 def as_text(report: dict) -> str:
-    lines = [f"mode: {report['mode']}", f"scanned files: {report['scanned_files']}", f"risk: {report['risk']}", f"groups: {len(report['duplicate_groups'])}"]
+    """What a person reads: counts, errors, then each group with a marker for the copy to keep and for protected files."""
+    counts = (
+        ("Mode", report["mode"]), ("Match risk", report["risk"]), ("Scanned files", report["scanned_files"]), ("Candidate same-size groups", report["candidate_size_groups"]),
+        ("Cache hits", report["cache_hits"]), ("Cache misses", report["cache_misses"]), ("Duplicate groups", len(report["duplicate_groups"])),
+    )
+    lines = [f"{name}: {value}" for name, value in counts]
+    if report["errors"]:
+        lines += ["", "Errors:", *[f"  - {e}" for e in report["errors"]]]
     for n, g in enumerate(report["duplicate_groups"], 1):
-        lines.append(f"group {n}: {g['reason']} ({g['algorithm']} {g['hash']}, {g['size']} bytes)")
-        lines += [f"  {'[KEEP]' if i['suggested_keep'] else '[DUP ]'} {i['path']}" for i in g["items"]]
-    return "\n".join([*lines, *(f"error: {e}" for e in report["errors"])]) + "\n"
+        lines += ["", f"Group {n} | size={g['size']} | {g['algorithm']} | {g['reason']}"]
+        lines += [f"  [{'KEEP' if i['suggested_keep'] else 'DUP '}]{' protected' * i['is_protected']} {i['path']}" for i in g["items"]]
+    return "\n".join(lines) + "\n"

@@ -78,48 +78,62 @@ def set_pairs(entries: DataFrame, owner: str, entry: str, threshold: int, order:
     return counted.withColumn("score", score).filter(F.col("score") >= threshold)
 
 
+def near_words(values: DataFrame, most: int, width: int) -> DataFrame:
+    """(p, q, distance): distinct values p < q of `width` bits (column w, an array of 64-bit words) within `most` bits.
+
+    Pigeonhole: cut into more than most // 3 chunks, a pair within the distance differs by two bits at most in some
+    chunk; both sides are looked up under each chunk and each change of one of its bits, so such a pair meets. Rows
+    grow with the distinct values only.
+    """
+    most = min(most, width)
+    n_chunks = most // 3 + 1
+    cuts = sorted({round(i * width / n_chunks) for i in range(n_chunks + 1)} | set(range(0, width, 64)))
+    chunks, widest = [], max(hi - lo for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
+    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = F.shiftrightunsigned(F.col("w")[lo // 64], lo % 64).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+        chunks.append(F.struct(F.lit(i).alias("i"), F.lit(hi - lo).alias("n"), part.alias("v")))
+    cut = values.select("w", F.explode(F.array(*chunks)).alias("c"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(widest)])
+    probes = cut.select("w", "c", F.posexplode(flips).alias("b", "flip")).filter(F.col("b") <= F.col("c.n"))
+    probes = probes.select("c.i", F.col("c.v").bitwiseXOR(F.col("flip")).alias("v"), "w")
+    met = probes.withColumnRenamed("w", "p").join(probes.withColumnRenamed("w", "q"), ["i", "v"]).filter(F.col("p") < F.col("q"))
+    return met.select("p", "q", bits.words_distance(F.col("p"), F.col("q")).alias("distance")).filter(F.col("distance") <= most).distinct()
+
+
 def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, most: int, width: int = 64) -> DataFrame:
-    """(a, b, distance) of 64-bit hashes within `most` bits.
+    """(a, b, distance): ids with hashes (arrays of 64-bit words, `width` bits) within `most` bits; the least distance where an id has several.
 
-    Pigeonhole: hashes are cut into blocks of eight bits; a pair within the distance agrees in some block up to most // 8
-    bits, and each hash is looked up under every block value that near. Equal hashes are one value while they are compared.
+    Equal hashes are one value while they are compared.
     """
-    n_blocks, bits_each = width // 8, 8
-    errors = min(bits_each, most // n_blocks)
-    masks = F.array(*[F.lit(x).cast("long") for x in range(1 << bits_each) if x.bit_count() <= errors])
-    values = hashes.select(F.col(hash_col).alias("h")).distinct()
-    block = lambda i: F.shiftrightunsigned("h", i * bits_each).bitwiseAND(F.lit(255))
-    blocks = values.select("h", F.posexplode(F.array(*[block(i) for i in range(n_blocks)])).alias("i", "v"))
-    probes = blocks.withColumn("m", F.explode(masks)).select(F.col("h").alias("p"), "i", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-    found = probes.join(blocks, ["i", "v"]).filter((F.col("p") < F.col("h")) & (bits.hamming(F.col("p"), F.col("h")) <= most)).select("p", "h").distinct()
-    found = found.unionByName(values.select(F.col("h").alias("p"), "h"))
-    x = hashes.select(F.col(id_col).alias("x"), F.col(hash_col).alias("p"))
-    y = hashes.select(F.col(id_col).alias("y"), F.col(hash_col).alias("h"))
-    pairs = found.join(x, "p").join(y, "h").filter(F.col("x") != F.col("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.hamming(F.col("p"), F.col("h")).alias("distance")).distinct()
+    each = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("w")).distinct()
+    values = each.select("w").distinct()
+    found = near_words(values, most, width).unionByName(values.select(F.col("w").alias("p"), F.col("w").alias("q"), F.lit(0).alias("distance")))
+    x, y = each.select(F.col("id").alias("x"), F.col("w").alias("p")), each.select(F.col("id").alias("y"), F.col("w").alias("q"))
+    pairs = found.join(x, "p").join(y, "q").filter(F.col("x") != F.col("y"))
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
 
 
 def band_pairs(media: DataFrame, tolerance: float, most: int) -> DataFrame:
     """(a, b, delta, distance): media whose durations differ by at most `tolerance` and fingerprints by `most` bits.
 
-    media: id, duration, fingerprint (64 hex digits). Durations fall into bands as wide as the tolerance; each is
-    compared with its own band and the next. NaN durations are outside every band.
+    media: id, duration, fingerprint (64 hex digits, parsed once). Distinct fingerprints are compared first; then media
+    are joined by fingerprint and duration band (as wide as the tolerance; each is compared with its own band and its
+    neighbours). What shares both is a match, so work grows with the result; adaptive execution splits a fingerprint
+    and band that many media share. NaN durations are outside every band.
     """
-    width = max(tolerance, 1e-9)
-    m = media.filter(~F.isnan("duration")).withColumn("band", F.floor(F.col("duration") / width).cast("long"))
-    x = m.select(F.col("id").alias("x"), F.col("duration").alias("dx"), F.col("fingerprint").alias("fx"), F.col("band").alias("bx"))
-    y = m.select(F.col("id").alias("y"), F.col("duration").alias("dy"), F.col("fingerprint").alias("fy"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("bx"))
-    pairs = x.join(y, "bx").filter((F.floor(F.col("dy") / width) > F.col("bx")) | (F.col("x") < F.col("y")))
-    delta, distance = F.abs(F.col("dx") - F.col("dy")), bits.hex_distance(F.col("fx"), F.col("fy"))
-    near = pairs.withColumn("delta", delta).filter(F.col("delta") <= tolerance).withColumn("distance", distance).filter(F.col("distance") <= most)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "delta", "distance").filter("a != b")
-
-
-def best_reason(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(comp, score, a, b): the best pair of each component, the smallest pair on ties. labels: node, comp."""
-    best = F.max_by(F.struct("score", "a", "b"), F.struct("score", (-F.col("a_rank")).alias("x"), (-F.col("b_rank")).alias("y")))
-    joined = pairs.join(labels.withColumnRenamed("node", "a"), "a")
-    return joined.groupBy("comp").agg(best.alias("w")).select("comp", "w.*")
+    width = max(tolerance * (1 + 1e-9), 1e-9)  # a little wider, so that no rounding parts a pair by two bands
+    m = media.filter(~F.isnan("duration") & F.col("fingerprint").isNotNull()).withColumn("band", F.floor(F.col("duration") / width).cast("long"))
+    m = m.select("id", "duration", "band", bits.hex_words(F.col("fingerprint")).alias("w"))
+    x = m.select(F.col("id").alias("x"), F.col("duration").alias("dx"), F.col("w").alias("p"), F.col("band").alias("bx"))
+    y = m.select(F.col("id").alias("y"), F.col("duration").alias("dy"), F.col("w").alias("q"), "band")
+    own_or_next = y.withColumn("bx", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumnRenamed("q", "p")
+    same = x.join(own_or_next, ["p", "bx"]).filter((F.col("band") > F.col("bx")) | (F.col("x") < F.col("y")))
+    near = near_words(m.select("w").distinct(), most, 256)
+    around = y.withColumn("bx", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    other = x.join(near, "p").join(around, ["q", "bx"])
+    columns = ["x", "y", F.abs(F.col("dx") - F.col("dy")).alias("delta")]
+    pairs = same.select(*columns, F.lit(0).alias("distance")).unionByName(other.select(*columns, "distance")).filter(F.col("delta") <= tolerance)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "delta", "distance").filter("a != b")
 
 
 def grouped(pairs: DataFrame) -> DataFrame:

@@ -230,9 +230,9 @@ def folder_signatures(spark, sf_dir):
     return e.groupBy(F.col("l_orderkey").alias("folder")).agg(F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_size"), F.count_distinct("entry").alias("n_entries"))
 
 
-HASHES = """px AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
-st AS (SELECT vec_id, sum(x ORDER BY i) AS total FROM px GROUP BY vec_id)"""
-AHASH = """(sum(CASE WHEN x * 64 >= total AND {0} > 0 THEN 1::HUGEINT << (63 - {0})::INTEGER ELSE 0 END) - (max(CASE WHEN x * 64 >= total AND {0} = 0 THEN 1 ELSE 0 END)::HUGEINT * 9223372036854775808))::BIGINT"""
+HASHES = """px AS (SELECT vec_id, greatest(0, least(255, floor((unnest(embedding)::DOUBLE + 1) * 128)))::BIGINT AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+st AS (SELECT vec_id, sum(x)::BIGINT // 64 AS mean FROM px GROUP BY vec_id)"""
+AHASH = """(sum(CASE WHEN x >= mean AND {0} > 0 THEN 1::HUGEINT << (63 - {0})::INTEGER ELSE 0 END) - (max(CASE WHEN x >= mean AND {0} = 0 THEN 1 ELSE 0 END)::HUGEINT * 9223372036854775808))::BIGINT"""
 IMG = f"""{HASHES}, h AS (SELECT vec_id, {AHASH.format('i')} AS ahash FROM px JOIN st USING (vec_id) GROUP BY vec_id)"""
 
 
@@ -242,7 +242,7 @@ def image_hashes(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {IMG} SELECT vec_id, ahash FROM h")
 def image_ahash(spark, sf_dir):
-    return image_hashes(spark, sf_dir)
+    return image_hashes(spark, sf_dir).select("vec_id", F.col("ahash")[0].alias("ahash"))
 
 
 IMG_PAIRS = f"""{IMG}, pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.ahash, y.ahash))::INTEGER AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id
@@ -262,21 +262,20 @@ def image_groups(spark, sf_dir):
 _R = {"base": "i", "rot90": "((i % 8) * 8 + 7 - i // 8)", "rot180": "(63 - i)", "rot270": "((7 - i % 8) * 8 + i // 8)", "flip": "(i // 8 * 8 + 7 - i % 8)"}
 
 
-@query(f"""WITH {HASHES}, v AS (SELECT vec_id, [{', '.join(AHASH.format(x) for x in _R.values())}] AS hs FROM px JOIN st USING (vec_id) WHERE vec_id < 64 GROUP BY vec_id)
-SELECT x.vec_id AS a, y.vec_id AS b, list_min(flatten(list_transform(x.hs, lambda p: list_transform(y.hs, lambda q: bit_count(xor(p, q))))))::INTEGER AS distance
-FROM v x JOIN v y ON x.vec_id + 1 = y.vec_id""")
+@query(f"""WITH {HASHES}, v AS (SELECT vec_id, [{', '.join(AHASH.format(x) for x in _R.values())}] AS hs FROM px JOIN st USING (vec_id) GROUP BY vec_id),
+d AS (SELECT x.vec_id AS a, y.vec_id AS b, list_min(flatten(list_transform(x.hs, lambda p: list_transform(y.hs, lambda q: bit_count(xor(p, q))))))::INTEGER AS distance
+FROM v x JOIN v y ON x.vec_id < y.vec_id) SELECT a, b, distance FROM d WHERE distance <= 20""")
 def image_rotation_min(spark, sf_dir):
-    """Pairs of images within 20 bits in some orientation, over the whole table. The SQL only has neighbours of the first 64."""
-    v = tables.images(spark, sf_dir).select("vec_id", F.explode(bits.hash_variants(F.col("pixels"), rotations=True)).alias("h")).distinct()
-    return simjoin.hamming_pairs(v, "vec_id", "h", 20).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    """Pairs of images within 20 bits in some orientation, over the whole table."""
+    v = tables.images(spark, sf_dir).select("vec_id", F.explode(bits.hash_variants(F.col("pixels"), rotations=True)).alias("h"))
+    return simjoin.hamming_pairs(v, "vec_id", "h", 20)
 
 
-RAWS = f"SELECT p_partkey AS id, {NORM.format('p_name')} AS norm, CASE WHEN p_partkey % 3 = 0 THEN 'cr2' WHEN p_partkey % 3 = 1 THEN 'jpg' ELSE 'png' END AS ext FROM part WHERE p_partkey % 10 < 3"
+RAWS = f"SELECT p_partkey AS id, {NORM.format('p_name')} AS norm, CASE WHEN p_partkey % 3 = 0 THEN 'cr2' WHEN p_partkey % 3 = 1 THEN 'jpg' ELSE 'png' END AS ext FROM part"
 
 
 @query(f"WITH f AS ({RAWS}) SELECT r.id AS raw_id, j.id AS jpeg_id, r.norm FROM f r JOIN f j ON r.norm = j.norm WHERE r.ext = 'cr2' AND j.ext = 'jpg'")
 def raw_jpeg_pairs(spark, sf_dir):
-    """Over all parts; the SQL only has three of ten."""
     ext = F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'cr2' WHEN p_partkey % 3 = 1 THEN 'jpg' ELSE 'png' END")
     f = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names.normalized(F.col("p_name")).alias("norm"), ext.alias("ext"))
     raw = f.filter(magic.of_kind(F.col("ext"), magic.RAW)).select(F.col("id").alias("raw_id"), "norm")
@@ -292,11 +291,11 @@ def media_band_join(spark, sf_dir):
     return pairs.select("a", "b", F.round("delta", 6).alias("delta"), bits.media_score(F.col("distance")).alias("score"))
 
 
-@query("""WITH m AS (SELECT event_id AS id, value AS d, event_type AS title, user_id % 5 AS artist, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 2 END AS album FROM events WHERE event_id < 400)
+@query("""WITH m AS (SELECT event_id AS id, value AS d, sha256(event_type || '|' || props) AS f, event_type AS title, user_id % 5 AS artist, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 2 END AS album FROM events)
 SELECT x.id AS a, y.id AS b, nullif(concat_ws(', ', CASE WHEN x.title = y.title THEN 'title' END, CASE WHEN x.artist = y.artist THEN 'artist' END, CASE WHEN x.album = y.album THEN 'album' END), '') AS basis
-FROM m x JOIN m y ON y.id = x.id + 1""")
+FROM m x JOIN m y ON x.f = y.f AND x.id < y.id AND abs(x.d - y.d) <= 0.5""")
 def audio_metadata_reason(spark, sf_dir):
-    """Tags shared by all pairs of media_band_join. The SQL only has neighbours of the first 400."""
+    """Tags shared by all pairs of media_band_join."""
     m = tables.media(spark, sf_dir)
     known = m.selectExpr("id", "event_type AS title", "user_id % 5 AS artist", "CASE WHEN id % 3 = 0 THEN NULL ELSE user_id % 2 END AS album")
     x, y = (known.select(F.col("id").alias(side), *[F.col(t).alias(f"{side}_{t}") for t in tags.AUDIO_TAGS]) for side in "ab")
@@ -318,10 +317,11 @@ def empty_files(spark, sf_dir):
     return d.filter(F.octet_length("text") == 0).select("doc_id", F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
-@query("SELECT c_custkey AS folder FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey AS folder FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def empty_folders(spark, sf_dir):
-    c = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("folder"))
-    return c.join(tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("folder")), "folder", "left_anti")
+    """Orders as folders, their lines as entries."""
+    o = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("folder"))
+    return o.join(tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("folder")), "folder", "left_anti")
 
 
 HEADS = [("FFD8FF00", "jpg"), ("89504E470D0A1A0A", "png"), ("474946383961", "gif"), ("524946460000000057454250", "webp"), ("524946460000000057415645", "wav"), ("504B0304", "docx"), ("4F676753", "opus"), ("", "txt")]
@@ -403,11 +403,12 @@ def report_text_filter(spark, sf_dir):
     return text_filter(flatten_report(exact_items(spark, sf_dir), "exact"), " /DE/ ").select("group_number").distinct()
 
 
-@query("""WITH m AS (SELECT 'c' || conv_id || '.zip!' || turn || '_' || role || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash FROM conversations)
+@query("""WITH m AS (SELECT source || '.zip!' || lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash FROM documents)
 SELECT path, size, hash, row_number() OVER (PARTITION BY size, hash ORDER BY string_split(path, '/'), path) = 1 AS suggested_keep FROM (SELECT *, count(*) OVER (PARTITION BY size, hash) AS n FROM m) WHERE n > 1""")
 def archive_member_groups(spark, sf_dir):
-    t = tables.table(spark, sf_dir, "conversations")
-    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".zip!"), F.col("turn").cast("string"), F.lit("_"), "role", F.lit(".txt"))
+    """Sources as archives, their documents as members."""
+    t = tables.table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit(".zip!"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     m = t.select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"))
     order = [F.split("path", "/"), F.col("path")]
     return ranking.ranked(refine.at_least_two(m, ["size", "hash"]), ["size", "hash"], order).select("path", "size", "hash", "suggested_keep")
@@ -425,9 +426,8 @@ def previews(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", text_preview(F.col("text")).alias("preview"), hex_preview(F.encode("text", "UTF-8")).alias("head"))
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT o_custkey AS a, -(o_orderkey % 97) - 1 AS b FROM orders WHERE o_orderkey % 7 = 0), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT o_custkey AS a, -(o_orderkey % 97) - 1 AS b FROM orders), e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS node, a AS r FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.r) SELECT node, min(r) AS comp FROM reach GROUP BY node""")
 def connected_components(spark, sf_dir):
-    """Over all orders; the SQL only has one of seven."""
     o = tables.table(spark, sf_dir, "orders")
     return components(o.select(F.col("o_custkey").alias("a"), (-(F.col("o_orderkey") % 97) - 1).alias("b")))

@@ -51,7 +51,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("pixels"))
+    """Embeddings as images: each number in -1..1 as one of 256 grey levels."""
+    level = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 128))).cast("long")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", level).alias("pixels"))
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:

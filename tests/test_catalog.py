@@ -16,8 +16,9 @@ def test_rotations_of_all_images(spark, tmp_path):
     px[89] = [px[2][i] for i in bits.orientations(8)["rot90"]]  # a turned copy, far from it by its id
     spark.createDataFrame(list(px.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.a, r.b): r.distance for r in catalog.QUERIES["image_rotation_min"](spark, str(tmp_path)).collect()}
-    hashes = lambda p: [sum((p[i] * 64 >= sum(p)) << (63 - k) for k, i in enumerate(o)) for o in bits.orientations(8).values()]
-    hs = {i: hashes(p) for i, p in px.items()}
+    grey = {i: [min(255, int((x + 1) * 128)) for x in p] for i, p in px.items()}
+    hashes = lambda p: [sum((p[i] >= sum(p) // 64) << (63 - k) for k, i in enumerate(o)) for o in bits.orientations(8).values()]
+    hs = {i: hashes(p) for i, p in grey.items()}
     least = {(a, b): min((x ^ y).bit_count() for x in hs[a] for y in hs[b]) for a in px for b in px if a < b}
     assert got == {k: d for k, d in least.items() if d <= 20} and got[2, 89] == 0
 

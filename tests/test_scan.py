@@ -168,7 +168,8 @@ def test_hamming_pairs_against_all_pairs(spark):
     random.seed(2)
     base = [random.getrandbits(63) for _ in range(5)]
     rows = [(i, random.choice(base) ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 9)) if b < 63)) for i in range(80)]
-    got = {(r.a, r.b): r.distance for r in simjoin.hamming_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", 10).collect()}
+    hashes = spark.createDataFrame(rows, "id long, h long").select("id", F.array("h").alias("h"))
+    got = {(r.a, r.b): r.distance for r in simjoin.hamming_pairs(hashes, "id", "h", 10).collect()}
     want = {(a, b): (x ^ y).bit_count() for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 10}
     assert got == want
 
@@ -187,3 +188,21 @@ def test_components_and_hashes(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert hashing.blake3_hex(b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+
+
+def test_media_bands_against_all_pairs(spark):
+    random.seed(4)
+    base = [random.getrandbits(256) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        f = random.choice(base) ^ sum(1 << b for b in random.sample(range(256), random.choice([0, 0, 3, 20, 40])))
+        rows.append((i, random.choice([float("nan"), None] + [random.randint(0, 40) / 4] * 8), None if i % 30 == 0 else f"{f:064x}"))
+    m = spark.createDataFrame(rows, "id long, duration double, fingerprint string")
+    for tolerance, most in ((0.5, 32), (2.0, 0), (0.0, 60)):
+        got = {(r.a, r.b): (r.delta, r.distance) for r in simjoin.band_pairs(m, tolerance, most).collect()}
+        want = {}
+        for a, da, fa in rows:
+            for b, db, fb in rows:
+                if a < b and None not in (da, db, fa, fb) and abs(da - db) <= tolerance and (d := (int(fa, 16) ^ int(fb, 16)).bit_count()) <= most:
+                    want[a, b] = abs(da - db), d
+        assert got == want and (want or most == 0)
