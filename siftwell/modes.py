@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import threading
+import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import bits, magic, names, tags
 from siftwell.operators import ranking, refine, report, simjoin
 from siftwell.sources import fswalk, media, zips
+from siftwell.sources.stores import HashCache
 from siftwell.store import written
 
 
@@ -35,6 +39,42 @@ class ScanConfig:
     duration_tolerance: float = 2.0
     media_threshold: int = 32
     ignore_patterns: tuple[str, ...] = ()
+    cache: bool = False
+    cache_path: str | None = None
+    cache_tolerance: int = 0
+
+
+#: Where hashes are kept if a cache is asked for without a place, and the modes that use one.
+CACHE_PATH = ".siftwell-cache"
+CACHED_MODES = ("exact", "similar-images", "similar-videos", "similar-audio")
+
+
+class Cached:
+    """The hash cache of a scan, if it has one, and how often it knew a hash."""
+
+    def __init__(self, spark: SparkSession, c: ScanConfig):
+        self.store = HashCache(spark, c.cache_path or CACHE_PATH) if c.cache else None
+        self.tolerance, self.hits, self.misses = c.cache_tolerance, 0, 0
+
+    def hashed(self, files: DataFrame, algorithm: str, scope: str, bytes_hashed: int, compute: Callable[[DataFrame], DataFrame], by_identity: bool = True) -> DataFrame:
+        """files with `hash` and `read_error`: known ones from the cache, the others by compute(files), and then kept."""
+        asked = files.withColumn("device_id", F.col("identity.device_id")).withColumn("inode", F.col("identity.inode")) if by_identity else files.withColumns({x: F.lit(None).cast("string") for x in ("device_id", "inode")})
+        if self.store is None:
+            out = written(compute(asked).withColumn("hit", F.lit(False)), "hashes")
+        else:
+            looked = written(self.store.lookup(asked, algorithm, scope, bytes_hashed, self.tolerance), "looked-up")
+            known = looked.filter(F.col("hash").isNotNull()).withColumn("read_error", F.lit(None).cast("string")).withColumn("hit", F.lit(True))
+            new = compute(looked.filter(F.col("hash").isNull()).drop("hash")).withColumn("hit", F.lit(False))
+            out = written(known.unionByName(new), "hashes")
+            kept = out.filter("NOT hit AND hash IS NOT NULL").select(
+                "path", "device_id", "inode", "size", "modified_unix", F.lit(algorithm).alias("algorithm"), F.lit(scope).alias("scope"),
+                F.lit(bytes_hashed).cast("long").alias("bytes_hashed"), "hash", F.lit(int(time.time())).cast("long").alias("created_unix"),
+            )
+            if not kept.isEmpty():
+                self.store.store(kept)
+        hits, misses = out.filter("read_error IS NULL").agg(F.count_if(F.col("hit")), F.count_if(~F.col("hit"))).first()
+        self.hits, self.misses = self.hits + hits, self.misses + misses
+        return out.drop("hit", "device_id", "inode")
 
 
 class Canceled(RuntimeError):
@@ -48,6 +88,9 @@ class CancelToken:
     def cancel(self) -> None:
         self._event.set()
 
+    def is_set(self) -> bool:
+        return self._event.is_set()
+
     def check(self) -> None:
         if self._event.is_set():
             raise Canceled("scan canceled")
@@ -82,14 +125,37 @@ def linked(files: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     return ranking.ranked(items.withColumn("group_key", F.col("comp")), ["group_key"]).withColumn("algorithm", F.lit(label))
 
 
-def _exact(spark, found, files, c: ScanConfig):
-    content = fswalk.read_content(refine.at_least_two(files, ["size"])).filter("read_error IS NULL")
-    groups = refine.exact_groups(content, c.algorithm, c.prefix_bytes, c.byte_verify)
-    key = F.concat_ws(":", F.col("size").cast("string"), "hash", *[F.sha2("content", 256)] * c.byte_verify)
-    out = ranking.ranked(groups.withColumn("group_key", key).drop("content", "read_error"), ["group_key"]).withColumn("algorithm", F.lit(c.algorithm))
+def _exact(spark, found, files, c: ScanConfig, cached: Cached, told, cancel):
+    """Files of one size by the hash of their first bytes, then of all of them; only what is left is read on. (items, errors)"""
+    told("group by size")
+    sized = refine.at_least_two(files, ["size"])
+    told("hash first bytes")
+    start = cached.hashed(sized, c.algorithm, "partial", c.prefix_bytes, lambda f: fswalk.read_digests(f, c.algorithm, c.prefix_bytes))
+    cancel.check()
+    told("hash whole files")
+    same = refine.at_least_two(start.filter("read_error IS NULL").withColumnRenamed("hash", "prefix"), ["size", "prefix"]).drop("read_error")
+
+    def whole(f: DataFrame) -> DataFrame:  # what is no longer than its first bytes has been hashed
+        short = F.col("size") <= c.prefix_bytes
+        rest = fswalk.read_digests(f.filter(~short), c.algorithm)
+        return rest.unionByName(f.filter(short).withColumn("hash", F.col("prefix")).withColumn("read_error", F.lit(None).cast("string")))
+
+    full = cached.hashed(same, c.algorithm, "full", -1, whole)
+    failed = start.filter("read_error IS NOT NULL").select("path", "read_error").unionByName(full.filter("read_error IS NOT NULL").select("path", "read_error"))
+    groups, keys = full.filter("read_error IS NULL").drop("prefix", "read_error"), ["size", "hash"]
+    groups = refine.at_least_two(groups, keys)
+    if c.byte_verify:
+        cancel.check()
+        told("compare bytes")
+        groups, keys = fswalk.split_by_bytes(groups, keys), [*keys, "bytes_of"]
+        failed = failed.unionByName(groups.filter("read_error IS NOT NULL").select("path", "read_error"))
+        groups = refine.at_least_two(groups.filter("read_error IS NULL").drop("read_error"), keys)
+    groups = groups.withColumn("group_key", F.concat_ws(":", *[F.col(k).cast("string") for k in keys])).withColumn("reason", F.lit("same size + same full hash" + ", byte-by-byte verified" * c.byte_verify))
+    out = ranking.ranked(groups, ["group_key"]).withColumn("algorithm", F.lit(c.algorithm))
     if c.include_archives:
+        told("read archives")
         out = out.select("group_key", *FLAT).unionByName(_archive_members(spark, found, files, c).select("group_key", *FLAT))
-    return out
+    return out, [f"{r.path}: {r.read_error}" for r in failed.collect()]
 
 
 def _archive_members(spark, found, files, c: ScanConfig):
@@ -118,23 +184,37 @@ def _raw_pairs(files):
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(100).alias("score"), F.concat(F.lit("RAW + JPEG pair: "), "norm").alias("reason"))
 
 
-def _images(spark, files, c: ScanConfig):
+def triangle(size: int, into: int):
+    """The matrix that samples `size` pixels down (or up) to `into` with a triangle filter."""
     import numpy as np
 
-    n, rotations, side = c.image_size, c.rotations, 8
-    if n != side:
-        raise ValueError("hashes of 8 by 8 bits are supported")
+    ratio = size / into
+    reach = max(ratio, 1.0)
+    centre = (np.arange(into) + 0.5) * ratio
+    at = np.arange(size)
+    inside = (at >= np.maximum(0, np.floor(centre - reach))[:, None]) & (at < np.minimum(size, np.ceil(centre + reach))[:, None])
+    weight = np.maximum(0, 1 - np.abs((at[None, :] - (centre - 0.5)[:, None]) / reach)) * inside
+    return weight / weight.sum(axis=1, keepdims=True)
 
-    @F.pandas_udf("array<double>")
-    def shrunk(h: pd.Series, w: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
-        def one(h, w, k, raw):
-            px = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, k).astype(np.float64)
-            gray = px[:, :, 0] if k == 1 else px[:, :, :3] @ np.array([0.114, 0.587, 0.299])  # blue, green, red
-            rows, cols = (np.arange(m * side) // side for m in (h, w))  # each pixel `side` times, so that any size divides
-            big = gray[np.ix_(rows, cols)]
-            return big.reshape(side, h, side, w).mean(axis=(1, 3)).ravel().tolist()
 
-        return pd.Series([one(*x) for x in zip(h, w, channels, data, strict=True)])
+def grey_levels(height: int, width: int, channels: int, raw: bytes, side: int) -> list[int]:
+    """An image (blue, green, red) as side * side grey levels of eight bits."""
+    import numpy as np
+
+    px = np.frombuffer(raw, dtype=np.uint8).reshape(height, width, channels).astype(np.int64)
+    grey = px[:, :, 0] if channels == 1 else (722 * px[:, :, 0] + 7152 * px[:, :, 1] + 2126 * px[:, :, 2]) // 10000
+    small = triangle(height, side) @ grey @ triangle(width, side).T
+    return np.clip(np.floor(small + 0.5), 0, 255).astype(np.int64).ravel().tolist()
+
+
+def _images(spark, files, c: ScanConfig, cached: Cached):
+    n, rotations = c.image_size, c.rotations
+    if n < 4:
+        raise ValueError("image hashes have 4 by 4 bits at least")
+
+    @F.pandas_udf("array<long>")
+    def shrunk(h: pd.Series, w: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([grey_levels(*x, n) for x in zip(h, w, channels, data, strict=True)])
 
     @F.pandas_udf("string")
     def taken(paths: pd.Series) -> pd.Series:
@@ -147,37 +227,58 @@ def _images(spark, files, c: ScanConfig):
 
         return paths.map(one).astype(object)
 
-    paths = [r.path for r in files.filter(magic.of_kind(names.extension(names.base_name(F.col("path"))), magic.IMAGE)).select("path").toLocalIterator()]
+    def decoded(wanted: DataFrame) -> DataFrame:
+        """The hashes of images as text: variants apart by semicolons, their words by commas."""
+        paths = [f"file://{r.path}" for r in wanted.select("path").toLocalIterator()]  # the reader takes a list
+        none = wanted.withColumn("hash", F.lit(None).cast("string"))
+        if paths:
+            read = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+            read = read.select(F.regexp_replace("origin", "^file:/+", "/").alias("path"), shrunk("height", "width", "nChannels", "data").alias("px"))
+            variants = bits.hash_variants(F.col("px"), n, rotations)
+            text = F.array_join(F.transform(variants, lambda v: F.array_join(F.transform(v, lambda x: x.cast("string")), ",")), ";")
+            none = wanted.join(read.select("path", text.alias("hash")), "path", "left")
+        return none.withColumn("read_error", F.when(F.col("hash").isNull(), F.lit("image cannot be decoded")))
+
     raw = _raw_pairs(files)
-    if not paths:
-        return linked(files, raw, "similar-images")
-    read = spark.read.format("image").option("dropInvalid", True).load([f"file://{p}" for p in paths]).select("image.*")
-    px = read.select(F.regexp_replace("origin", "^file:/+", "/").alias("path"), shrunk("height", "width", "nChannels", "data").alias("px"))
-    hashes = written(px.select("path", bits.hash_variants(F.col("px"), 8, rotations).alias("hs"), taken("path").alias("date")), "image-hashes")
+    wanted = files.filter(magic.of_kind(names.extension(names.base_name(F.col("path"))), magic.IMAGE))
+    found = cached.hashed(wanted, f"image-ahash-{n}" + "-rot" * rotations, "full", -1, decoded, by_identity=False)
+    failed = found.filter("read_error IS NOT NULL").select("path", F.col("read_error").alias("error"))
+    words = F.transform(F.split("hash", ";"), lambda v: F.transform(F.split(v, ","), lambda x: x.cast("long")))
+    hashes = written(found.filter("hash IS NOT NULL").select("path", words.alias("hs"), taken("path").alias("date")), "image-hashes")
     variants = hashes.select("path", F.explode("hs").alias("h"))
-    pairs = simjoin.hamming_pairs(variants, "path", "h", c.image_threshold).groupBy("a", "b").agg(F.min("distance").alias("d"))
+    pairs = simjoin.hamming_pairs(variants, "path", "h", c.image_threshold, n * n).withColumnRenamed("distance", "d")
     x, y = (hashes.select(F.col("path").alias(side), F.col("date").alias(f"date_{side}")) for side in "ab")
     dated = F.when(F.col("date_a") == F.col("date_b"), F.concat(F.lit(" with matching EXIF date "), "date_a"))
     reason = F.concat(F.format_string("perceptual hash distance %d", F.col("d")), F.coalesce(dated, F.lit("")))
-    near = pairs.join(x, "a").join(y, "b").select("a", "b", bits.image_score(F.col("d")).alias("score"), reason.alias("reason"))
-    return linked(files, raw.unionByName(near), "similar-images")
-
-
-def _media(files, c: ScanConfig, video: bool):
-    def run(frames):
-        for f in frames:
-            rows = []
-            for p in f["path"]:
-                try:
-                    rows.append({"id": p, **media.analyze(p, video)})
-                except Exception as e:  # noqa: BLE001 - an unreadable file is an error of the report
-                    rows.append({"id": p, "error": str(e) or type(e).__name__})
-            if rows:
-                yield pd.DataFrame(rows, columns=["id", "duration", "title", "artist", "album", "fingerprint", "error"])
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", bits.image_score(F.col("d"), n).alias("score"), reason.alias("reason"))
+    return linked(files, raw.unionByName(near), "similar-images"), failed
+
+
+TAGGED = "struct<duration:double,title:string,artist:string,album:string,fingerprint:string>"
+
+
+def _media(files, c: ScanConfig, video: bool, cached: Cached):
+    def analyzed(wanted: DataFrame) -> DataFrame:
+        """What the tools tell of each file, as JSON."""
+        schema = wanted.withColumn("hash", F.lit(None).cast("string")).withColumn("read_error", F.lit(None).cast("string")).schema
+        at = wanted.columns.index("path")
+
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for p in batch.column(at).to_pylist():
+                    try:
+                        rows.append((json.dumps(media.analyze(p, video)), None))
+                    except Exception as e:  # noqa: BLE001 - an unreadable file is an error of the report
+                        rows.append((None, str(e) or type(e).__name__))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)]], [*batch.schema.names, "hash", "read_error"])
+
+        return wanted.mapInArrow(run, schema)
 
     kind = magic.VIDEO if video else magic.AUDIO
     wanted = files.filter(magic.of_kind(names.extension(names.base_name(F.col("path"))), kind))
-    found = written(wanted.select("path").mapInPandas(run, "id string, duration double, title string, artist string, album string, fingerprint string, error string"), "media")
+    found = cached.hashed(wanted, "video-fingerprint" if video else "audio-fingerprint", "full", -1, analyzed, by_identity=False)
+    found = found.select(F.col("path").alias("id"), F.from_json("hash", TAGGED).alias("m"), F.col("read_error").alias("error")).select("id", "m.*", "error")
     read = found.filter("error IS NULL")
     pairs = simjoin.band_pairs(read, c.duration_tolerance, c.media_threshold)
     label = "similar-videos" if video else "similar-audio"
@@ -199,7 +300,11 @@ def _folders(spark, c: ScanConfig):
     entry = kept.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), names.signature(name, F.col("size")).alias("entry"), "size", "modified_unix", "path")
     folders = entry.groupBy("folder").agg(F.sum("size").alias("size"), F.max("modified_unix").alias("modified_unix"))
     folders = fswalk.file_index(folders.select(F.col("folder").alias("path"), "size", "modified_unix", F.lit("").alias("device_id"), F.lit("").alias("inode"), F.lit("file").alias("kind")), list(c.protected))
-    pairs = simjoin.set_pairs(entry, "folder", "entry", max(1, c.folder_threshold))
+    pairs = simjoin.set_pairs(entry, "folder", "entry", max(1, c.folder_threshold)).select("a", "b", "score", "both")
+    if c.folder_threshold <= 0:  # every pair matches: one group, and links to its first folder tell so without all the pairs
+        first = entry.agg(F.min("folder")).first()[0]
+        rest = entry.select("folder").distinct().filter(F.col("folder") != F.lit(first))
+        pairs = pairs.unionByName(rest.select(F.lit(first).alias("a"), F.col("folder").alias("b"), F.lit(0).alias("score"), F.lit(0).cast("long").alias("both")))
     reason = F.format_string("folder similarity %d%%: %d shared entries", F.col("score"), F.col("both"))
     return linked(folders, pairs.withColumn("reason", reason), "duplicate-folders"), entry.count()
 
@@ -224,22 +329,23 @@ def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None,
     scanned, candidates = None, 0
     cancel.check()
     told("match")
+    cached = Cached(spark, c)
     if c.mode == "exact":
-        items = _exact(spark, found, files, c)
+        items, failed = _exact(spark, found, files, c, cached, told, cancel)
         candidates = files.groupBy("size").count().filter("count > 1").count()
-        bad = fswalk.read_content(refine.at_least_two(files, ["size"]), 1).filter("read_error IS NOT NULL")
-        errors += [f"{r.path}: {r.read_error}" for r in bad.select("path", "read_error").collect()]
+        errors += failed
     elif c.mode == "similar-names":
         items = _names(files, c)
     elif c.mode == "similar-images":
         files = files.filter(magic.of_kind(ext, magic.IMAGE) | magic.of_kind(ext, magic.RAW))
-        items = _images(spark, files, c)
+        items, failed = _images(spark, files, c, cached)
+        errors += [f"{r.path}: {r.error}" for r in failed.collect()]
     elif c.mode == "raw-jpeg-pairs":
         files = files.filter(magic.of_kind(ext, magic.IMAGE) | magic.of_kind(ext, magic.RAW))
         items = linked(files, _raw_pairs(files), "raw-jpeg-pairs")
     elif c.mode in ("similar-videos", "similar-audio"):
         files = files.filter(magic.of_kind(ext, magic.VIDEO if c.mode == "similar-videos" else magic.AUDIO))
-        items, failed = _media(files, c, c.mode == "similar-videos")
+        items, failed = _media(files, c, c.mode == "similar-videos", cached)
         errors += [f"{r.path}: {r.error}" for r in failed.collect()]
     elif c.mode == "duplicate-folders":
         items, scanned = _folders(spark, c)
@@ -273,4 +379,4 @@ def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None,
     cancel.check()
     if c.mode == "duplicate-archive-members":
         candidates = len(groups)
-    return empty | {"scanned_files": files.count() if scanned is None else scanned, "candidate_size_groups": candidates, "duplicate_groups": groups}
+    return empty | {"scanned_files": files.count() if scanned is None else scanned, "candidate_size_groups": candidates, "cache_hits": cached.hits, "cache_misses": cached.misses, "duplicate_groups": groups}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siftwell.functions.hashing import file_digest
 from siftwell.sources.tables import under
+from siftwell.store import written
 
 FILES = "path string, root string, kind string, size bigint, modified_unix bigint, device_id string, inode string, error string"
 SYSTEM_NAMES = ("thumbs.db", "desktop.ini")
@@ -127,6 +129,65 @@ def read_content(files: DataFrame, most: int | None = None, column: str = "conte
     return files.mapInArrow(run, schema)
 
 
+def read_digests(files: DataFrame, algorithm: str, most: int | None = None) -> DataFrame:
+    """files with `hash`, the digest of their bytes (or the first `most`), and an error text; executors read in steps and send digests only."""
+    schema = files.withColumn("hash", F.lit(None).cast("string")).withColumn("read_error", F.lit(None).cast("string")).schema
+    at = files.columns.index("path")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(at).to_pylist():
+                try:
+                    found.append((file_digest(path, algorithm, most), None))
+                except OSError as e:
+                    found.append((None, str(e)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([x[c] for x in found], pa.string()) for c in (0, 1)]], [*batch.schema.names, "hash", "read_error"])
+
+    return files.mapInArrow(run, schema)
+
+
+def same_bytes(left: str, right: str) -> bool:
+    with open(left, "rb") as a, open(right, "rb") as b:
+        while True:
+            x, y = a.read(1 << 20), b.read(1 << 20)
+            if x != y:
+                return False
+            if not x:
+                return True
+
+
+def split_by_bytes(items: DataFrame, keys: list[str]) -> DataFrame:
+    """items with `bytes_of`, the first path of those in their group that have equal bytes, and `read_error`; files are compared in steps.
+
+    Each round compares a group with its first file; what differs is the next round's, so a round more is run for each
+    collision of a hash."""
+    names = [c for c in items.columns if c not in ("bytes_of", "read_error")]
+    left, done = items.select(*names), None
+    while True:
+        first = left.groupBy(*keys).agg(F.min("path").alias("bytes_of"))
+        pairs = left.join(first, keys).select(*names, "bytes_of")
+        schema = pairs.withColumn("read_error", F.lit(None).cast("string")).withColumn("same", F.lit(None).cast("boolean")).schema
+        at = pairs.columns.index("path"), pairs.columns.index("bytes_of")
+
+        def run(batches, at=at):
+            for batch in batches:
+                found = []
+                for a, b in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                    try:
+                        found.append((None, a == b or same_bytes(a, b)))
+                    except OSError as e:
+                        found.append((str(e), True))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_())], [*batch.schema.names, "read_error", "same"])
+
+        compared = written(pairs.mapInArrow(run, schema), "compared")
+        equal = compared.filter("same").drop("same")
+        done = equal if done is None else done.unionByName(equal)
+        left = compared.filter("NOT same").select(*names)
+        if left.isEmpty():
+            return done
+
+
 def empty_folders(found: DataFrame) -> DataFrame:
     """Folders without any entry; hidden entries count as content."""
     parent = F.regexp_replace("path", "/[^/]*$", "")

@@ -10,8 +10,9 @@ from siftwell.functions.hashing import blake3_hex
 
 # Seconds until a tool is stopped, and what is sampled.
 VERSION_S, PROBE_S, FINGERPRINT_S = 10, 20, 30
-VIDEO_ARGS = ("-vf", "fps=1,scale=32:32,format=gray", "-frames:v", "6", "-f", "rawvideo", "-")
-AUDIO_ARGS = ("-t", "30", "-ac", "1", "-ar", "8000", "-f", "s16le", "-")
+VIDEO_ARGS = ("-map", "0:v:0", "-vf", "fps=1,scale=32:32:flags=bilinear,format=gray", "-frames:v", "6", "-f", "rawvideo", "-")
+AUDIO_ARGS = ("-map", "0:a:0", "-ac", "1", "-ar", "8000", "-t", "30", "-f", "s16le", "-")
+PROBE_KEYS = {"duration": "duration", "TAG:title": "title", "TAG:artist": "artist", "TAG:album": "album"}
 DATE_TAGS = (0x9003, 0x9004, 0x0132)
 
 
@@ -33,22 +34,22 @@ def parse_probe(text: str) -> dict:
     out = {"duration": 0.0, "title": None, "artist": None, "album": None}
     for line in text.splitlines():
         key, sep, value = line.partition("=")
-        key, value = key.strip().lower().removeprefix("tag:"), value.strip()
-        if not sep:
+        name, value = PROBE_KEYS.get(key.strip()), value.strip()
+        if not sep or name is None:
             continue
-        if key == "duration":
+        if name == "duration":
             try:
-                out["duration"] = float(value)
+                out[name] = float(value)
             except ValueError:
-                out["duration"] = 0.0
-        elif key in out:
-            out[key] = value or None
+                out[name] = 0.0
+        else:
+            out[name] = value or None
     return out
 
 
 def analyze(path: str, video: bool) -> dict:
     t = tools()
-    probe = subprocess.run([t["ffprobe"], "-v", "error", "-show_entries", "format=duration:format_tags=title,artist,album", "-of", "default=noprint_wrappers=1", path], capture_output=True, timeout=PROBE_S, check=True)
+    probe = subprocess.run([t["ffprobe"], "-v", "error", "-show_entries", "format=duration:format_tags=title,artist,album", "-of", "default=noprint_wrappers=1:nokey=0", path], capture_output=True, timeout=PROBE_S, check=True)
     raw = subprocess.run([t["ffmpeg"], "-v", "error", "-i", path, *(VIDEO_ARGS if video else AUDIO_ARGS)], capture_output=True, timeout=FINGERPRINT_S, check=True).stdout
     return parse_probe(probe.stdout.decode(errors="replace")) | {"fingerprint": blake3_hex(raw)}
 
@@ -64,17 +65,24 @@ def exif_date(data: bytes) -> str | None:
         return None
     found: dict[int, str] = {}
 
+    seen: set[int] = set()
+
     def directory(offset: int) -> None:
+        if offset in seen:  # a directory that points at itself or back
+            return
+        seen.add(offset)
         try:
             (n,) = struct.unpack_from(order + "H", tiff, offset)
             for i in range(n):
-                tag, kind, count, value = struct.unpack_from(order + "HHII", tiff, offset + 2 + 12 * i)
+                at = offset + 2 + 12 * i
+                tag, kind, count, value = struct.unpack_from(order + "HHII", tiff, at)
                 if tag == 0x8769:
                     directory(value)
                 elif tag in DATE_TAGS and kind == 2:
-                    text = tiff[value : value + count].split(b"\0")[0].decode("ascii", "replace").strip()
+                    begin = at + 8 if count <= 4 else value  # up to four bytes stand in the entry itself
+                    text = tiff[begin : begin + count].split(b"\0")[0].decode("utf-8", "replace").strip()
                     if text:
-                        found[tag] = text
+                        found.setdefault(tag, text)
         except struct.error:
             return
 

@@ -70,3 +70,7 @@ class HashCache:
     def store(self, entries: DataFrame) -> None:
         v = self._versions()
         cache_join.upsert(self.table(), entries).write.parquet(f"{self.path}/v{(v[-1] if v else 0) + 1}")
+
+    def clear(self) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
