@@ -231,11 +231,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # what hubs did not settle: members of a bucket in different components, compared in tiles
     member = written(hits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-    open_ = written(member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key"), "open")
+    # the members of a bucket's largest component are compared with the others only, not among themselves
+    each = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    open_ = each.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
+    open_ = written(open_.select("key", "all", F.col("m.c").alias("most"), F.col("m.comp").alias("major")), "open")
     left = member.join(open_, "key").join(reps, "node")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    major = F.col("comp") == F.col("major")
+    others, majors = F.ceil((F.col("all") - F.col("most")) / TILE).cast("int"), F.ceil(F.col("most") / TILE).cast("int")
+    mine = F.when(major, others + F.pmod(F.xxhash64("node"), majors)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, others).otherwise(others + majors) - 1)))
     left = left.select("key", "n", "node", "comp", "sig", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
                        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
     left = written(left, "open-buckets")
