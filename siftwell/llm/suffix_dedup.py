@@ -13,12 +13,12 @@ combined by grouping instead of one global array, which no single machine could
    and each group is treated as an anchor of its own: dropped if what all its strings share stands once, done if its
    context repeats, else cut again, into single starts. Of equal contexts only one goes on.
 
-Groups are counted with partial sums; a passage that a third of all documents share costs one row for each of its
-contexts. Texts are read whole; a text travels only when its own starts are compared and when it is cut.
+Groups are counted with partial sums; a passage that a third of all documents share costs one row for each place in the
+first count and one for each of its contexts in the joins, which adaptive execution deals to several tasks. Texts are read whole; a text travels only when its own starts are compared and when it is cut.
 
 Defined cases: a null or empty text has no bytes and no spans; texts shorter than `length` have no spans; repeated
-rows are copies of each other, so all of them lose what they share; a null id is a value like any other; extra columns
-are not read. `cut_text` removes whole characters only, so what is left is valid UTF-8.
+rows are copies of each other, so all of them lose what they share; very long texts are read whole; a null id is a value
+like any other; an empty table gives no rows; other columns are not read by `remove_repeats` and pass through `cut_repeats`. `cut_text` removes whole characters only, so what is left is valid UTF-8.
 """
 
 from __future__ import annotations
@@ -144,9 +144,11 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     every, done = anchors(rows, length), []
     for grid in (16, 1, 0):
         every = written(every, "anchors")
-        again = every.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k")
+        # written on its own, so that the join is one of two tables, which adaptive execution can split by anchor
+        again = written(every.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("k"), "again")
         some = written(every.join(again, "k", "left_semi"), "anchors-again")
         discard(every)
+        discard(again)
         one = F.min(F.struct("r1", "r2", "lo", "hi", "t", "rep")).alias("one")
         contexts = written(some.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
         release(rows.sparkSession)
@@ -154,7 +156,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         done.append(whole.select("r1", "r2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")))
         if not grid:
             break
-        several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > 1).select("k")
+        several = written(contexts.groupBy("k").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > 1).select("k"), "several")
         run = F.struct("one.lo", "one.hi", "one.t", "k", (F.col("one.rep") | (F.col("n") > 1)).alias("rep")).alias("run")
         runs = contexts.join(several, "k", "left_semi").select("one.r1", "one.r2", run)
         runs = runs.groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))  # no more than the text has bytes
