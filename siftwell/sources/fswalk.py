@@ -23,13 +23,14 @@ def is_hidden(name: str) -> bool:
     return name.startswith(".") or name.lower() in SYSTEM_NAMES
 
 
-def walk(root: str, ignore_hidden: bool) -> Iterator[tuple]:
-    """Entries below a root: files, directories and errors; links are not followed and hidden folders not entered."""
+def walk(root: str, ignore_hidden: bool, start: str | None = None, deep: bool = True) -> Iterator[tuple]:
+    """Entries below a root, or below `start` in it: files, directories and errors; links are not followed and hidden
+    folders not entered. Not deep: without what folders hold."""
     top = os.path.realpath(root)
     if ignore_hidden and is_hidden(os.path.basename(top)):
         return
-    stack = [top]
-    if os.path.isfile(top):
+    stack = [start or top]
+    if start is None and os.path.isfile(top):
         stack = []
         yield entry(top, root)
     while stack:
@@ -44,7 +45,8 @@ def walk(root: str, ignore_hidden: bool) -> Iterator[tuple]:
                 yield e.path, root, "hidden", None, None, None, None, None
             elif e.is_dir(follow_symlinks=False):
                 yield e.path, root, "dir", None, None, None, None, None
-                stack.append(e.path)
+                if deep:
+                    stack.append(e.path)
             elif e.is_file(follow_symlinks=False):
                 yield entry(e.path, root)
             else:
@@ -60,9 +62,9 @@ def entry(path: str, root: str) -> tuple:
     return path, root, "file", s.st_size, int(s.st_mtime) if s.st_mtime >= 0 else None, str(s.st_dev), str(s.st_ino), None
 
 
-class _Root(InputPartition):
-    def __init__(self, root: str):
-        self.root = root
+class _Part(InputPartition):
+    def __init__(self, root: str, start: str | None, deep: bool):
+        self.root, self.start, self.deep = root, start, deep
 
 
 class _Reader(DataSourceReader):
@@ -70,14 +72,19 @@ class _Reader(DataSourceReader):
         self.roots, self.ignore_hidden = roots, ignore_hidden
 
     def partitions(self):
-        return [_Root(r) for r in self.roots]
+        """A part for what each root holds itself, and one for each folder in it."""
+        out = []
+        for root in self.roots:
+            out.append(_Part(root, None, False))
+            out += [_Part(root, path, True) for path, _, kind, *_ in walk(root, self.ignore_hidden, deep=False) if kind == "dir"]
+        return out
 
     def read(self, partition):
-        yield from walk(partition.root, self.ignore_hidden)
+        yield from walk(partition.root, self.ignore_hidden, partition.start, partition.deep)
 
 
 class FileTree(DataSource):
-    """Options: roots (one a line) and ignore_hidden. One partition for each root."""
+    """Options: roots (one a line) and ignore_hidden. One partition for each root and each folder in it."""
 
     @classmethod
     def name(cls) -> str:
