@@ -309,8 +309,8 @@ def _folders(spark, c: ScanConfig):
     return linked(folders, pairs.withColumn("reason", reason), "duplicate-folders"), entry.count()
 
 
-def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None, on_progress: Callable[[str], None] | None = None) -> dict:
-    """The report of one scan, as a dictionary; only its groups reach the driver."""
+def scan_table(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None, on_progress: Callable[[str], None] | None = None) -> tuple[DataFrame | None, dict]:
+    """The items of one scan with the numbers of their groups, as a table of any size, and the report without its groups."""
     cancel, told = cancel or CancelToken(), on_progress or (lambda _: None)
     risk, sized, missing_ok = MODES[c.mode]
     errors: list[str] = []
@@ -318,7 +318,7 @@ def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None,
     cancel.check()
     if c.mode in ("similar-videos", "similar-audio") and (error := media.missing_tool()):
         errors.append(error)
-        return empty
+        return None, empty
     told("collect")
     found = written(fswalk.entries(spark, list(c.paths), c.ignore_hidden, missing_ok), "entries")
     errors += [f"{r.path}: {r.error}" for r in found.filter("kind = 'error'").select("path", "error").collect()]
@@ -372,11 +372,21 @@ def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None,
     items = items.select("group_key", *FLAT)
     sizes = items.groupBy("group_key").agg(F.max("size").alias("group_size"), F.min(F.when(F.col("rank") == 1, F.col("path"))).alias("first"))
     numbered = ranking.global_rank(sizes, [F.col("group_size").desc(), F.split("first", "/")]).select("group_key", F.col("rank").cast("int").alias("group_number"))
+    n_groups = sizes.count() if c.mode == "duplicate-archive-members" else candidates
     told("report")
-    groups = [r.asDict(recursive=True) for r in report.nested(items.join(numbered, "group_key")).collect()]
+    return items.join(numbered, "group_key"), empty | {
+        "scanned_files": files.count() if scanned is None else scanned, "candidate_size_groups": n_groups, "cache_hits": cached.hits, "cache_misses": cached.misses,
+    }
+
+
+def scan(spark: SparkSession, c: ScanConfig, cancel: CancelToken | None = None, on_progress: Callable[[str], None] | None = None) -> dict:
+    """The report of one scan, as a dictionary: all of its groups reach the driver, as a report that is shown or stored needs them."""
+    flat, report_ = scan_table(spark, c, cancel, on_progress)
+    if flat is None:
+        return report_
+    groups = [r.asDict(recursive=True) for r in report.nested(flat).collect()]
     for g in groups:
         del g["group_number"]
-    cancel.check()
-    if c.mode == "duplicate-archive-members":
-        candidates = len(groups)
-    return empty | {"scanned_files": files.count() if scanned is None else scanned, "candidate_size_groups": candidates, "cache_hits": cached.hits, "cache_misses": cached.misses, "duplicate_groups": groups}
+    if cancel is not None:
+        cancel.check()
+    return report_ | {"duplicate_groups": groups}
