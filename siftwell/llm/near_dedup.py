@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._graph import components
-from siftwell.llm._store import written
+from siftwell.llm._store import discard, written
 from siftwell.llm._text import U64, column, mix, shingle_sets
 
 CHUNK = 4
@@ -200,6 +200,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if n % CHUNK or not 0 < percent <= 100:
         raise ValueError("components come in chunks of four; percent lies in 1..100")
     most = 2 * (n // CHUNK) - 1
+    made: list[DataFrame] = []  # tables that the result does not read
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sigs = written(signatures(docs, words, n), "signatures")
     linkable = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -209,32 +215,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         linkable.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same])
         .select(F.col("doc_id").alias("node"), "sig").distinct()
     )
-    reps = written(reps, "representatives")
+    reps = held(reps, "representatives")
     keys = bucketed(reps)
     # counts and choices by bucket are written: a join of written tables is one that adaptive execution can split by key
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "shared")
-    hits = written(keys.join(shared, "key").select("key", "n", "node"), "buckets")
+    shared = held(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "shared")
+    hits = held(keys.join(shared, "key").select("key", "n", "node"), "buckets")
 
     # hubs: in buckets of one chunk the same order, so a homogeneous group has one hub for each chunk
     order = F.struct(F.xxhash64("node", F.shiftright("key", 50)).alias("h"), F.col("node").alias("hub"))
-    hubs = written(hits.groupBy("key").agg(F.min(order)["hub"].alias("hub")), "hubs")
+    hubs = held(hits.groupBy("key").agg(F.min(order)["hub"].alias("hub")), "hubs")
     stars = hits.join(hubs, "key").filter(F.col("node") != F.col("hub")).select(*ordered("hub", "node")).distinct()
-    stars = written(stars, "stars")
+    stars = held(stars, "stars")
     nodes = hits.select("node").distinct()
     texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    texts = written(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+    texts = held(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
     # an id with several sets links their classes
-    several = linkable.join(written(sigs.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).filter("lo != hi").select("doc_id"), "several"), "doc_id", "left_semi")
+    several = linkable.join(held(sigs.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("lo"), F.max(F.struct(*same)).alias("hi")).filter("lo != hi").select("doc_id"), "several"), "doc_id", "left_semi")
     own = several.join(classes, same).select(*ordered("doc_id", "node")).filter("a != b")
-    links = written(confirmed(stars, texts, words, percent).unionByName(own), "star-links")
+    links = held(confirmed(stars, texts, words, percent).unionByName(own), "star-links")
     labels = components(links)
 
     # what hubs did not settle: members of a bucket in different components, compared in tiles
-    member = written(hits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    member = held(hits.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
     # the members of a bucket's largest component are compared with the others only, not among themselves
     each = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     open_ = each.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
-    open_ = written(open_.select("key", "all", F.col("m.c").alias("most"), F.col("m.comp").alias("major")), "open")
+    open_ = held(open_.select("key", "all", F.col("m.c").alias("most"), F.col("m.comp").alias("major")), "open")
     left = member.join(open_, "key").join(reps, "node")
     major = F.col("comp") == F.col("major")
     others, majors = F.ceil((F.col("all") - F.col("most")) / TILE).cast("int"), F.ceil(F.col("most") / TILE).cast("int")
@@ -242,15 +248,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, others).otherwise(others + majors) - 1)))
     left = left.select("key", "n", "node", "comp", "sig", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
                        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    left = written(left, "open-buckets")
+    left = held(left, "open-buckets")
     few = left.filter(F.col("n") <= LARGE).withColumn("text", F.lit(None).cast("string"))
     many = left.filter(F.col("n") > LARGE).join(texts, "node")
     dealt = few.unionByName(many).repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
-    found = written(close_in_tiles(dealt, most, words, percent), "rest")
+    found = held(close_in_tiles(dealt, most, words, percent), "rest")
     rest = found.filter(~F.col("sure")).select(*ordered("x", "y")).distinct().join(stars, ["a", "b"], "left_anti")
     more = confirmed(rest, texts, words, percent).unionByName(found.filter("sure").select(*ordered("x", "y")))
-    more = written(more, "rest-links")
+    more = held(more, "rest-links")
     labels = components(links.unionByName(more))
+    for table in made:
+        discard(table)
 
     out = sigs.join(classes, same, "left").withColumn("node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("node", "doc_id"))).join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import written
+from siftwell.llm._store import discard, written
 from siftwell.llm.license_scan import LOWER, UPPER
 
 #: (verdict, host, path prefix)
@@ -63,7 +63,7 @@ def merged_templates(counts: DataFrame, depth: int, z: float) -> DataFrame:
     own where a sibling is labelled; where none is, all are merged. Beside a branch `*` that stays on its own, the
     merged siblings are `*?`, which no segment of a path can be.
     """
-    tree = counts.withColumn("template", F.col("leaf"))
+    tree = last = counts.withColumn("template", F.col("leaf"))
     for level in range(depth, 0, -1):
         deep = F.size("template") >= level
         parent = F.concat_ws("/", F.slice("template", 1, level - 1))
@@ -86,6 +86,8 @@ def merged_templates(counts: DataFrame, depth: int, z: float) -> DataFrame:
             .select("host", "leaf", "blocked", "labelled", "template"),
             "url-tree",
         )
+        discard(last)  # a table of the round before; the first is the caller's
+        last = tree
     return tree
 
 
