@@ -54,6 +54,13 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder, of every run that used it: for when no result is to be read any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/siftwell")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: it does so when the driver collects its garbage."""
     gc.collect()
