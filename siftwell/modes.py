@@ -33,7 +33,7 @@ class ScanConfig:
     include_archives: bool = False
     name_threshold: int = 85
     folder_threshold: int = 85
-    image_threshold: int = 8
+    image_threshold: int = 12
     image_size: int = 8
     rotations: bool = False
     duration_tolerance: float = 2.0

@@ -28,6 +28,15 @@ def scratch_root(spark: SparkSession) -> str:
     return base
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: a table of a few files that cannot be split, with
+    work to do on each row that outweighs moving it. Larger tables, and what a shuffle has dealt, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():  # to ask for its partitions would run it
+        return df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
 
