@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._graph import components
-from siftwell.llm._store import discard, written
+from siftwell.llm._store import discard, spread, written
 from siftwell.llm._text import U64, column, mix, shingle_sets
 
 CHUNK = 4
@@ -207,7 +207,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return made[-1]
 
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sigs = written(signatures(docs, words, n), "signatures")
+    sigs = written(signatures(spread(docs), words, n), "signatures")
     linkable = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     same = ["n_shingles", "s1", "s2"]
     classes = written(linkable.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
@@ -242,9 +242,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     open_ = each.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).filter("comps > 1")
     open_ = held(open_.select("key", "all", F.col("m.c").alias("most"), F.col("m.comp").alias("major")), "open")
     left = member.join(open_, "key").join(reps, "node")
-    major = F.col("comp") == F.col("major")
-    others, majors = F.ceil((F.col("all") - F.col("most")) / TILE).cast("int"), F.ceil(F.col("most") / TILE).cast("int")
-    mine = F.when(major, others + F.pmod(F.xxhash64("node"), majors)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    split = F.col("all") > TILE  # what fits in a tile is one
+    major = split & (F.col("comp") == F.col("major"))
+    others = F.when(split, F.ceil((F.col("all") - F.col("most")) / TILE)).otherwise(1).cast("int")
+    majors = F.when(split, F.ceil(F.col("most") / TILE)).otherwise(0).cast("int")
+    mine = F.when(major, others + F.pmod(F.xxhash64("node"), F.greatest(majors, F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
     left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, others).otherwise(others + majors) - 1)))
     left = left.select("key", "n", "node", "comp", "sig", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"),
                        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
