@@ -19,7 +19,7 @@ PARTS[[9, 10, 13, 32]] = False
 
 
 class WordEncoder:
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
