@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm._store import spread
 from siftwell.llm._text import ALNUM, U64, Words, column, shingles, slices
 
 BLOCKS, BITS = 8, 8
@@ -182,7 +183,7 @@ def batch_matches(index: ItemIndex, array) -> Iterator[tuple]:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity and distance of the best window of each row and item."""
     spark = docs.sparkSession
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    d = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     kind, item_kind = d.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, similarity double, distance int"
     out = spark.createDataFrame([], schema)

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import written
+from siftwell.llm._store import spread, written
 from siftwell.llm.quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,7 +157,7 @@ def license_matches(rows: DataFrame, key: list[str], sets) -> DataFrame:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per document: the base phrases' counts and places, all labels, and the best containment."""
     sets = template_sets(templates, threshold)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
+    source = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).withColumn("h", F.xxhash64("text"))
     rows = written(read_once(source, sets), "license-rows")
     matches = license_matches(rows, ["doc_id", "h"], sets).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))  # at most the templates' labels
     m = matches.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), "found", "score")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._blocks import text_blocks, unpack_table
-from siftwell.llm._store import LARGE_ROWS, discard, written
+from siftwell.llm._store import LARGE_ROWS, discard, spread, written
 from siftwell.llm._text import U64, Words, column, mix, slices
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fold = F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     rows = docs.select(ident.alias("doc_id"), fold.alias("fold"), F.col(f"`{text}`").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    blocks = text_blocks(rows, block_bytes)
+    blocks = text_blocks(spread(rows), block_bytes)
     bits = max(fan, (blocks.select("block").count() - 1).bit_length())
     totals = corpus_counts(sent_counts(blocks, order, fan, bits), fan, bits)
     whole = totals.filter("child < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens")]).first()

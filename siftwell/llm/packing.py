@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import written
+from siftwell.llm._store import spread, written
 from siftwell.llm._text import column
 from siftwell.llm._tokens import encoder, tokenizer_path
 
@@ -170,7 +170,7 @@ def token_pieces(docs: DataFrame, id_col: str, text: str, capacity: int, path: s
             yield pa.RecordBatch.from_pydict(made)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(pieces, schema)
+    return spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(pieces, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", folder: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._names import fresh
+from siftwell.llm._store import spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -112,7 +113,7 @@ def line_first_clean(docs: DataFrame, text: str = "text", into: str = "quality",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     q = line_first_clean(docs).select("doc_id", "quality.*")
     return q.drop("clean_text")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm._names import fresh
-from siftwell.llm._store import discard, release, written
+from siftwell.llm._store import discard, release, spread, written
 from siftwell.llm._text import U64, Rolling, column, mix, slices
 
 GRAM = 8
@@ -141,7 +141,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
     """(r1, r2, ranges): for each row with repeats the ranges (a, b) of bytes that repeated strings cover."""
     if length < CORE + GRAM:
         raise ValueError(f"strings are {CORE + GRAM} bytes at least")
-    every, done = anchors(rows, length), []
+    every, done = anchors(spread(rows), length), []
     for grid in (16, 1, 0):
         every = written(every, "anchors")
         # written on its own, so that the join is one of two tables, which adaptive execution can split by anchor

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._store import new_path, written
+from siftwell.llm._store import new_path, spread, written
 from siftwell.llm._text import Words, column, slices
 from siftwell.llm._tokens import encoder, tokenizer_path
 
@@ -84,7 +84,7 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = (), tokenizers: dict[str, s
             maps = pa.array([list(zip(versions, x, strict=True)) for x in zip(*n, strict=True)], pa.map_(pa.string(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*others, maps], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def signed(docs: DataFrame, sign: int) -> DataFrame:
