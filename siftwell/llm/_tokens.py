@@ -19,7 +19,7 @@ PARTS[[9, 10, 13, 32]] = False
 
 
 class WordEncoder:
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,12 +31,29 @@ class WordEncoder:
         # sorted hashes of words and their numbers; the ids of word n are flat[at[n] : at[n + 1]]
         self.keys, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.flat, self.at = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int32)  # slices of text that had word n
+
+    def shrink(self) -> None:
+        """Forget the words that one slice of text had since the last time; all, if most are left."""
+        kept = np.flatnonzero(self.used > 1)
+        if len(kept) > self.most // 2:
+            self.forget()
+            return
+        lengths = np.diff(self.at)[kept]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        self.flat = self.flat[np.repeat(self.at[kept] - total[:-1], lengths) + np.arange(total[-1])]
+        self.at = total
+        new = np.full(len(self.used), -1, dtype=np.int32)
+        new[kept] = np.arange(len(kept), dtype=np.int32)
+        numbers = new[self.numbers]
+        self.keys, self.numbers = self.keys[numbers >= 0], numbers[numbers >= 0]
+        self.used = np.ones(len(kept), dtype=np.int32)
 
     def known(self, data: np.ndarray, words: Words) -> np.ndarray:
         """The cache's number of each word; unknown words are encoded first."""
         keys, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
-            self.forget()
+            self.shrink()
         place = np.searchsorted(self.keys, keys)
         numbers = np.full(len(keys), -1, dtype=np.int64)
         near = np.flatnonzero(place < len(self.keys))
@@ -56,6 +73,8 @@ class WordEncoder:
             flat = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(lengths.sum()))
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int32)])
+        self.used[numbers] += 1
         return numbers[back]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
