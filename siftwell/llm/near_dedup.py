@@ -33,7 +33,7 @@ from siftwell.llm._text import U64, column, mix, shingle_sets
 CHUNK = 4
 COMPONENTS = 40
 #: Members of a tile, and the size of a bucket from which its texts travel to the tile instead of its pairs to the texts.
-TILE = 1500
+TILE = 1000
 LARGE = 100
 
 
