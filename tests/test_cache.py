@@ -122,7 +122,7 @@ def test_images_of_other_sizes(spark, tmp_path):
         px = zlib.compress(b"".join(b"\0" + bytes(f(r, c) for c in range(16)) for r in range(16)))
         (tmp_path / f"{n}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 16, 16, 8, 0, 0, 0, 0)) + chunk(b"IDAT", px) + chunk(b"IEND", b""))
     for size in (4, 11):
-        c = ScanConfig(paths=(str(tmp_path),), mode="similar-images", image_size=size, cache=True, cache_path=str(tmp_path / ".cache"))
+        c = ScanConfig(paths=(str(tmp_path),), mode="similar-images", image_size=size, image_threshold=8, cache=True, cache_path=str(tmp_path / ".cache"))
         r = scan(spark, c)
         assert names(r) == [["a.png", "b.png"]] and r["cache_misses"] == 3
         assert scan(spark, c)["cache_hits"] == 3
